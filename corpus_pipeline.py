@@ -1,10 +1,62 @@
-"""Placeholder until its stages exist."""
+"""Training-corpus pipeline over documents: five operators in turn, each on what the one before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the next docs: the columns of documents, but for the last stage.
+
+1. toxicity: documents whose toxicity score reaches 0.7 go.
+2. near_dedup: of each group of near copies the document of the smallest id stays; rows repeated as a whole are one.
+3. substring_dedup: words of passages that stand earlier are cut from the text; n_chars follows.
+4. decontamination: documents that hold a window of a benchmark item go.
+5. byte_bpe: token ids of each text, and the text decoded from them.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hirelake.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxicity
+from hirelake.llm.common import cut, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).where(F.col("toxic_score") < toxicity.PREDICT_AT).select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).distinct()
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(docs)
+    return found.withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.round_trip(docs.select("doc_id", "text"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("decoded"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("byte-level BPE", byte_bpe_stage),
+]
 
-STAGES: list = []
+#: Trained classifiers, hashes and merges have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,12 +1,17 @@
 """The operators' registered queries and, where SQL can express them, their DuckDB oracles."""
 
-from . import decontaminate, quality, sharding, simhash, url_filter
+from . import byte_bpe, decontaminate, language_id, lm_scoring, quality, sharding, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_extendible_sharding": sharding.op8_extendible_sharding,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op4_decontamination": decontaminate.OP4_SQL, "op8_extendible_sharding": sharding.OP8_SQL}
+ORACLES = {"op4_decontamination": decontaminate.OP4_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL, "op8_extendible_sharding": sharding.OP8_SQL}
