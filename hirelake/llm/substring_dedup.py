@@ -5,7 +5,7 @@ COVER, a perfect difference set: two equal windows, however they are placed, sha
 anchor. Anchors that occur once in the corpus are told to their documents; only windows that hold another one are
 candidates. Candidates are extended to their whole width, hashed to 128 bits, and each distinct window's first place
 (document, position) is told to its document: the candidates that aren't first repeat an earlier window, and their
-words go. Hashes are reduced before and during the shuffle, so a passage of any number of copies is one small row.
+words go. A document that copies an earlier one whole needs no hashes. Hashes are reduced before and during the shuffle, so a passage of any number of copies is one small row.
 
 Cases: null and blank texts have no words; texts under WINDOW words lose none; documents with a null id are left
 alone; rows that share an id are judged in that id's place, and a row repeated as a whole keeps what its first one
@@ -61,7 +61,7 @@ def chunks(frame: pd.DataFrame) -> Iterator[tuple[list[tuple], np.ndarray]]:
     """(row, first word, number of words) of each row with a window, and the words' hashes, some rows at a time."""
     rows, words = [], []
     for row in frame.itertuples(index=False):
-        w = split(row.text)
+        w = [] if row.is_copy is True else split(row.text)
         if len(w) >= WINDOW and not pd.isna(row.doc_id):
             rows.append((row, len(words), len(w)))
             words += w
@@ -109,12 +109,14 @@ def candidate_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                 yield pd.DataFrame({"h": rolling(words, WINDOW, 0x5851F42D4C957F2D)[own].view(np.int64), "g": rolling(words, WINDOW, 0xD1342543DE82EF95)[own].view(np.int64), "at": at})
 
 
-def keep(text: str | None, single: np.ndarray | None, first: np.ndarray | None) -> tuple[int, int, str]:
+def keep(text: str | None, is_copy: bool | None, single: np.ndarray | None, first: np.ndarray | None) -> tuple[int, int, str]:
     """Number of words, number removed, and the text left: as it was if none goes, else words joined by one space."""
     w = split(text)
     n = len(w)
     if n < WINDOW:
         return n, 0, text
+    if is_copy is True:
+        return n, n, ""
     gone = candidates(n, single)
     if first is not None:
         gone = np.setdiff1d(gone, first, assume_unique=False)
@@ -131,22 +133,30 @@ def _by_doc(places: DataFrame, name: str) -> DataFrame:
     return places.select(doc, at.alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias(name))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """Documents whose whole text stands in one of a smaller id, by MD5; their windows all start earlier."""
+    marks = docs.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
+    return marks.join(marks.groupBy("mark").agg(F.min("doc_id").alias("own")), "mark").where("doc_id > own").select("doc_id", F.lit(True).alias("is_copy")).distinct()
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any others) with n_words, n_removed and kept_text."""
-    docs = docs.drop("n_words", "n_removed", "kept_text", "single", "first")
-    anchor_rows = docs.select("doc_id", "text").mapInPandas(anchors, "h long, at long")
-    once = anchor_rows.groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("n")).where("n = 1")
-    with_single = docs.join(cut(_by_doc(once, "single")), "doc_id", "left")
-    window_rows = with_single.mapInPandas(candidate_windows, "h long, g long, at long")
-    first = window_rows.groupBy("h", "g").agg(F.min("at").alias("at"))
+    """docs (doc_id, text and any others) with n_words, n_removed and kept_text.
+
+    All passes read the documents from one shuffle by id, so that places meet their texts without another.
+    """
+    docs = docs.drop("n_words", "n_removed", "kept_text", "is_copy", "single", "first")
+    marked = docs.join(cut(copies(docs)), "doc_id", "left")
+    once = marked.mapInPandas(anchors, "h long, at long").groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("n")).where("n = 1")
+    with_single = marked.join(_by_doc(once, "single"), "doc_id", "left")
+    first = with_single.mapInPandas(candidate_windows, "h long, g long, at long").groupBy("h", "g").agg(F.min("at").alias("at"))
     found = with_single.join(_by_doc(first, "first"), "doc_id", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
-    def apply(ids: pd.Series, texts: pd.Series, single: pd.Series, first: pd.Series) -> pd.DataFrame:
-        rows = [(len(split(t)), 0, t) if pd.isna(i) else keep(t, s, f) for i, t, s, f in zip(ids, texts, single, first, strict=True)]
+    def apply(ids: pd.Series, texts: pd.Series, copy: pd.Series, single: pd.Series, first: pd.Series) -> pd.DataFrame:
+        rows = [(len(split(t)), 0, t) if pd.isna(i) else keep(t, c, s, f) for i, t, c, s, f in zip(ids, texts, copy, single, first, strict=True)]
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
-    return found.select(*docs.columns, apply("doc_id", "text", "single", "first").alias("_kept")).select(*docs.columns, "_kept.*")
+    return found.select(*docs.columns, apply("doc_id", "text", "is_copy", "single", "first").alias("_kept")).select(*docs.columns, "_kept.*")
 
 
 def _digest(texts: pd.Series) -> pd.Series:
