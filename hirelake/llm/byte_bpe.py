@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 from .common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-FREQUENT = 300_000
+FREQUENT = 1_000_000
 #: Words of more tokens than this merge all places of a pair in one step.
 LONG = 48
 #: Factor, shift and size of the two hashes of the pair table.
 BUCKET_HASH, SLOT_HASH = (1_000_003, 11, 60_013), (998_244_353, 13, 200_003)
 #: Rows that a worker encodes at once.
-ROWS = 256
+ROWS = 1_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -90,12 +90,10 @@ def merge_fold(ids: Column, shifts: Column, slots: Column) -> Column:
     """Array of byte tokens to array of merged tokens."""
 
     def rank(a: Column, b: Column) -> Column:
-        def seek(key: Column) -> Column:
-            mix = lambda factor, shift, size: F.pmod(F.shiftright(key * F.lit(factor).cast("long"), shift), F.lit(size)).cast("int")
-            slot = F.pmod(mix(*SLOT_HASH) + F.element_at(shifts, mix(*BUCKET_HASH) + 1), F.lit(SLOT_HASH[2]))
-            return _let(F.element_at(slots, slot + 1), lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535)).cast("int")))
-
-        return _let(a.cast("long") * 65536 + b, seek)
+        key = a.cast("long") * 65536 + b
+        mix = lambda factor, shift, size: F.pmod(F.shiftright(key * F.lit(factor).cast("long"), shift), F.lit(size)).cast("int")
+        slot = F.pmod(mix(*SLOT_HASH) + shifts[mix(*BUCKET_HASH)], F.lit(SLOT_HASH[2]))
+        return _let(slots[slot], lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535)).cast("int")))
 
     def first(p: Column, r: Column, m: Column) -> Column:
         return _let(F.array_position(r, m).cast("int"), lambda i: F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))))
@@ -142,7 +140,7 @@ class Encoder:
     def fold(self, ids: Column) -> Column:
         return merge_fold(ids, self.shifts, self.slots)
 
-    def frequent(self, docs: DataFrame, limit: int = FREQUENT) -> pd.DataFrame:
+    def frequent(self, docs: DataFrame, limit: int = FREQUENT) -> pa.Table:
         """The corpus's most frequent pieces and their tokens, limit at most."""
         of_byte = self.of_byte
 
@@ -152,14 +150,14 @@ class Encoder:
 
         counts = docs.select(F.explode(self.pieces(F.col("text"))).alias("piece")).groupBy("piece").count()
         top = counts.orderBy(F.desc("count"), "piece").limit(limit).select("piece").repartition(self.spark.sparkContext.defaultParallelism * 2, "piece")
-        return top.select("piece", start("piece").alias("start")).select("piece", self.fold(F.col("start")).alias("ids")).toPandas()
+        return top.select("piece", start("piece").alias("start")).select("piece", self.fold(F.col("start")).alias("ids")).toArrow()
 
     def encode(self, docs: DataFrame, limit: int = FREQUENT) -> DataFrame:
         """docs with the column ids, an array of token ids."""
-        known = self.frequent(docs, limit)
-        lengths = known["ids"].map(len).to_numpy(np.int64) if len(known) else np.zeros(0, np.int64)
-        flat = np.concatenate(known["ids"].to_list()).astype(np.int32) if len(known) else np.zeros(0, np.int32)
-        shared = self.spark.sparkContext.broadcast((pa.array(known["piece"].to_list(), pa.string()), lengths, flat))
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)  # pieces of 10,000 long texts would fill a worker
+        known = self.frequent(docs, limit).combine_chunks()
+        words, ids = known.column("piece").combine_chunks(), known.column("ids").combine_chunks()
+        shared = self.spark.sparkContext.broadcast((words, pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy().astype(np.int32)))
         of_byte, kept = self.of_byte, [c for c in docs.columns if c != "ids"]
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
