@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def effective_date() -> F.Column:
 
 
 EFFECTIVE = "CASE WHEN regexp_matches(date_posted, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN date_posted ELSE concat('', date_found) END"
-OLDEST = F.date_sub(F.lit(AS_OF).cast("date"), RETENTION_DAYS).cast("string")
+OLDEST = (datetime.date.fromisoformat(AS_OF) - datetime.timedelta(RETENTION_DAYS)).isoformat()
 
 
 @query("infer_remote_type", "SELECT seq, CASE WHEN contains(t, 'remote') THEN 'remote' WHEN contains(t, 'hybrid') THEN 'hybrid' WHEN regexp_matches(t, 'on-site|onsite|in office|in-office') THEN 'on-site' ELSE 'unknown' END AS kind FROM (SELECT seq, lower(concat(title, ' ', location, ' ', CASE WHEN seq % 3 = 0 THEN 'Hybrid' WHEN seq % 3 = 1 THEN 'In Office' ELSE '' END)) AS t FROM postings)")
