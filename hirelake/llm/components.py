@@ -10,11 +10,19 @@ from .common import cut
 
 def _toward_least(pairs: DataFrame, keep_own: bool) -> DataFrame:
     """Link the neighbours of each node to the least of them; hubs are pre-aggregated and their join can be split."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    linked = pairs.join(least.withColumn("m", F.least("a", "m")), "a").where(F.lit(keep_own) | (F.col("b") > F.col("a"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = pairs.groupBy("a").agg(F.min("b").alias("near")).select("a", F.least("a", "near").alias("m"))
+    linked = pairs.join(least, "a")
+    if not keep_own:
+        linked = linked.where("b > a")
+    ends = linked.select(F.col("b").alias("x"), F.col("m").alias("y"))
     if keep_own:
-        linked = linked.unionByName(least.select("a", F.col("m").alias("b")))
-    return linked.where("a <> b").distinct()
+        ends = ends.union(least.select("a", "m"))
+    return ends.where("x <> y").distinct().toDF("a", "b")
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    """Each edge from its larger to its smaller node, without loops."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).toDF("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,13 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     The rounds end when they leave the edges as they were; their number grows with the logarithm of the longest path.
     No edges: no rows. Loops and repeated edges are harmless.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = cut(_downward(edges).distinct())
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _toward_least(both, False)
-        small = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        edges = cut(_toward_least(small, True))
+        edges = cut(_toward_least(_downward(large), True))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.crc32(F.concat_ws(",", "a", "b")))).first()
         if now == seen:
             break

@@ -60,8 +60,10 @@ def label_model(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
         off = ((1 - p) @ v + 1) / ((1 - p).sum() + 2)
         if step == rounds // 2:  # correlations within a class, above what chance gives
             left = v - (p[:, None] * on + (1 - p)[:, None] * off)
-            spread = np.sqrt((left**2).mean(axis=0)) + 1e-9
-            alike = np.abs(left.T @ left / n / np.outer(spread, spread)) - 3 / np.sqrt(n)
+            left -= left.mean(axis=0)
+            spread = left.std(axis=0)
+            left[:, spread < 0.02] = 0  # a voter that its class decides, or that never fires, repeats no other
+            alike = np.abs(left.T @ left / n / np.maximum(np.outer(spread, spread), 1e-6)) - 3 / np.sqrt(n)
             np.fill_diagonal(alike, 0)
             discount = 1 / (1 + np.maximum(alike, 0).sum(axis=1))
         gain = v * np.log(on / off) + (1 - v) * np.log((1 - on) / (1 - off))
