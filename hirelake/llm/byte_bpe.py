@@ -152,8 +152,8 @@ class Encoder:
         top = counts.orderBy(F.desc("count"), "piece").limit(limit).select("piece").repartition(self.spark.sparkContext.defaultParallelism * 2, "piece")
         return top.select("piece", start("piece").alias("start")).select("piece", self.fold(F.col("start")).alias("ids")).toArrow()
 
-    def encode(self, docs: DataFrame, limit: int = FREQUENT) -> DataFrame:
-        """docs with the column ids, an array of token ids."""
+    def encode(self, docs: DataFrame, limit: int = FREQUENT, then=None, schema: T.StructType | None = None) -> DataFrame:
+        """docs with the column ids, an array of token ids; or what then, run in the same workers, makes of those rows."""
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)  # pieces of 10,000 long texts would fill a worker
         known = self.frequent(docs, limit).combine_chunks()
         words, ids = known.column("piece").combine_chunks(), known.column("ids").combine_chunks()
@@ -202,16 +202,17 @@ class Encoder:
                     bounds = np.concatenate([[0], np.cumsum(size[place])])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))], [*kept, "ids"])
 
-        schema = T.StructType([docs.schema[c] for c in kept])
+        own = T.StructType([docs.schema[c] for c in kept])
         cut_up = docs.select(*kept, self.pieces(F.col("text")).alias("_pieces"))
         ints = T.ArrayType(T.IntegerType())
-        coded = cut_up.mapInArrow(look_up, T.StructType([*schema.fields, T.StructField("_codes", ints), T.StructField("_starts", T.ArrayType(ints))]))
+        coded = cut_up.mapInArrow(look_up, T.StructType([*own.fields, T.StructField("_codes", ints), T.StructField("_starts", T.ArrayType(ints))]))
         folded = coded.select(*kept, "_codes", F.transform("_starts", self.fold).alias("_folded"))
-        return folded.mapInArrow(assemble, T.StructType([*schema.fields, T.StructField("ids", ints)]))
+        if then is None:
+            return folded.mapInArrow(assemble, T.StructType([*own.fields, T.StructField("ids", ints)]))
+        return folded.mapInArrow(lambda batches: then(assemble(batches)), schema)
 
-    def decode(self, rows: DataFrame) -> DataFrame:
-        """rows with the column decoded (binary): the bytes of each row's ids, one after another."""
-        kept = [c for c in rows.columns if c != "decoded"]
+    def decoder(self, kept: list[str]):
+        """Function that adds the column decoded to batches with the columns kept."""
         shared = self.spark.sparkContext.broadcast((np.frombuffer(b"".join(self.tokens), np.uint8), np.array([len(t) for t in self.tokens], np.int64)))
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,12 @@ class Encoder:
                     bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(text)])], [*kept, "decoded"])
 
-        return rows.select(*kept).mapInArrow(join, T.StructType([*(rows.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())]))
+        return join
+
+    def decode(self, rows: DataFrame) -> DataFrame:
+        """rows with the column decoded (binary): the bytes of each row's ids, one after another."""
+        kept = [c for c in rows.columns if c != "decoded"]
+        return rows.select(*kept).mapInArrow(self.decoder(kept), T.StructType([*(rows.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +249,14 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with ids (array of token ids) and decoded (bytes)."""
     encoder = Encoder(docs.sparkSession, path or public_tokenizers.path(RANK_FILE))
-    return encoder.decode(encoder.encode(docs))
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return encoder.encode(docs.select(*kept), then=encoder.decoder([*kept, "ids"]), schema=schema)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoder = Encoder(spark, public_tokenizers.path(RANK_FILE))
-    ids = encoder.encode(docs).select("doc_id", "ids")
-    return encoder.decode(ids).mapInArrow(digests, T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    decode = encoder.decoder(["doc_id", "ids"])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return encoder.encode(docs, then=lambda batches: digests(decode(batches)), schema=schema)
