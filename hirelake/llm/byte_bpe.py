@@ -30,6 +30,8 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 FREQUENT = 1_000_000
 #: Words of more tokens than this merge all places of a pair in one step.
 LONG = 48
+#: Above all ranks: no merge.
+NONE = 65_535
 #: Factor, shift and size of the two hashes of the pair table.
 BUCKET_HASH, SLOT_HASH = (1_000_003, 11, 60_013), (998_244_353, 13, 200_003)
 #: Rows that a worker encodes at once.
@@ -87,35 +89,45 @@ def _let(value: Column, use) -> Column:
 
 
 def merge_fold(ids: Column, shifts: Column, slots: Column) -> Column:
-    """Array of byte tokens to array of merged tokens."""
+    """Array of byte tokens to array of merged tokens; the plan holds each table once, bound to a variable."""
+    return _let(F.struct(shifts.alias("shifts"), slots.alias("slots")), lambda t: _merge_fold(ids, t["shifts"], t["slots"]))
 
-    def rank(a: Column, b: Column) -> Column:
-        key = a.cast("long") * 65536 + b
-        mix = lambda factor, shift, size: F.pmod(F.shiftright(key * F.lit(factor).cast("long"), shift), F.lit(size)).cast("int")
-        slot = F.pmod(mix(*SLOT_HASH) + shifts[mix(*BUCKET_HASH)], F.lit(SLOT_HASH[2]))
-        return _let(slots[slot], lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535)).cast("int")))
 
-    def first(p: Column, r: Column, m: Column) -> Column:
-        return _let(F.array_position(r, m).cast("int"), lambda i: F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))))
+def _merge_fold(ids: Column, shifts: Column, slots: Column) -> Column:
+    """Fold over the array of tokens.
 
-    def every(p: Column, r: Column, m: Column) -> Column:
-        hits = F.array_join(F.transform(r, lambda x: F.when(x == m, "1").otherwise("0")), "")
-        chosen = F.split(F.replace(hits, F.lit("11"), F.lit("10")), "")  # of touching places every other one
-        merged = lambda c: F.transform(p, lambda x, i: F.when(F.get(c, i) == "1", m).when((i > 0) & (F.get(c, i - 1) == "1"), F.lit(-1)).otherwise(x))
-        return F.filter(_let(chosen, merged), lambda x: x >= 0)
+    An element of the folded array is rank << 16 | token, with the rank at which the token merges with its successor
+    (NONE: never), so the least element is the next merge, and only it and its left neighbour get new ranks.
+    """
+    token = lambda e: e.bitwiseAND(F.lit(65535).cast("long"))
 
-    def step(s: Column) -> Column:
-        p = s["p"]
-        ranks = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.when(b.isNotNull(), rank(a, b)))
+    def element(a: Column, b: Column) -> Column:
+        key = F.shiftleft(a, 16) + b
+        mix = lambda factor, shift, size: F.pmod(F.shiftright(key * F.lit(factor).cast("long"), shift), F.lit(size).cast("long")).cast("int")
+        slot = F.pmod(mix(*SLOT_HASH) + F.get(shifts, mix(*BUCKET_HASH)), F.lit(SLOT_HASH[2]))
+        rank = _let(F.get(slots, slot), lambda e: F.when(F.shiftright(e, 16) == key, token(e)).otherwise(F.lit(NONE).cast("long")))
+        return F.shiftleft(F.when(b.isNull(), F.lit(NONE).cast("long")).otherwise(rank), 16) + a
+
+    def elements(p: Column) -> Column:
+        return F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), element)
 
-        def merge(r: Column) -> Column:
-            m = F.array_min(r)
-            return _let(m, lambda m: F.when(m.isNull(), F.struct(p.alias("p"), F.lit(True).alias("done"))).otherwise(F.struct(F.when(F.size(p) > LONG, every(p, r, m)).otherwise(first(p, r, m)).alias("p"), (F.size(p) < 3).alias("done"))))
+    def one(s: Column, m: Column, i: Column) -> Column:
+        merged, rest = F.shiftright(m, 16), F.slice(s, i + 2, F.size(s))
+        here = element(merged, token(F.get(s, i + 1)))
+        return F.when(i == 1, F.concat(F.array(here), rest)).otherwise(F.concat(F.slice(s, F.lit(1), i - 2), F.array(element(token(F.get(s, i - 2)), merged), here), rest))
 
-        return _let(ranks, merge)
+    def every(s: Column, m: Column) -> Column:
+        hits = F.array_join(F.transform(s, lambda x: F.when(x == m, "1").otherwise("0")), "")
+        chosen = F.split(F.replace(hits, F.lit("11"), F.lit("10")), "")  # of touching places every other one
+        merged = lambda c: F.transform(s, lambda x, i: F.when(F.get(c, i) == "1", F.shiftright(m, 16)).when((i > 0) & (F.get(c, i - 1) == "1"), F.lit(-1).cast("long")).otherwise(token(x)))
+        return _let(F.filter(_let(chosen, merged), lambda x: x >= 0), elements)
+
+    def step(s: Column) -> Column:
+        place = lambda m: _let(F.array_position(s, m).cast("int"), lambda i: one(s, m, i))
+        return _let(F.array_min(s), lambda m: F.when(F.shiftright(m, 16) == NONE, s).when(F.size(s) > LONG, every(s, m)).otherwise(place(m)))
 
-    start = F.struct(ids.alias("p"), F.lit(False).alias("done"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: s["p"])
+    start = elements(ids.cast("array<bigint>"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, lambda s, _: step(s), lambda s: F.transform(s, lambda e: token(e).cast("int")))
     return F.when(F.size(ids) < 2, ids).otherwise(folded)
 
 
