@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 #: Words of more tokens than this merge all places of a pair in one step.
 LONG = 48
 #: Above all ranks: no merge.
@@ -35,7 +35,7 @@ NONE = 65_535
 #: Factor, shift and size of the two hashes of the pair table.
 BUCKET_HASH, SLOT_HASH = (1_000_003, 11, 60_013), (998_244_353, 13, 200_003)
 #: Rows that a worker encodes at once.
-ROWS = 1_000
+ROWS = 500
 
 
 def read_ranks(path: str) -> list[bytes]:
