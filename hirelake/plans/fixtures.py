@@ -58,18 +58,32 @@ SELECT l_orderkey AS job_key, CASE l_partkey % 8 WHEN 0 THEN 'Skill' WHEN 1 THEN
 FROM lineitem""",
     "runs": f"""
 SELECT o_custkey % 8 + 1 AS profile_id, o_orderkey AS run_id, (o_orderkey % 90) * 24 + o_orderkey % 24 AS hours_ago, CASE WHEN o_orderstatus = 'O' THEN 'failed' ELSE 'success' END AS status, o_orderkey % 40 AS jobs_added FROM orders""",
+    "wishes": """
+SELECT o_custkey AS profile_id, o_orderkey AS pos, CASE WHEN o_orderkey % 5 = 4 THEN 'excluded' WHEN o_orderkey % 5 > 1 THEN 'preferred' ELSE 'required' END AS kind,
+  CASE WHEN o_orderkey % 29 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN concat('COMPANY ', o_orderkey * 7 % 23) WHEN o_orderkey % 3 = 1 THEN concat(' Company ', o_orderkey * 7 % 23, ' ') ELSE concat('Company ', o_orderkey * 7 % 23) END AS company
+FROM orders""",
+    "boards": "SELECT concat('Company ', s_suppkey) AS company, concat('company ', s_suppkey + 1) AS slug FROM supplier WHERE s_suppkey % 5 = 0",
+    "actions": f"""
+SELECT event_id, ts, event_id % 1500 AS job_key, CASE event_type WHEN 'view' THEN 'notes' WHEN 'click' THEN 'save' WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'promote' ELSE 'hide' END AS action,
+  {_item(STATUSES + "|bogus", "event_id")} AS value FROM events""",
+    "usage": "SELECT event_type AS service, CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 15 ELSE 31 END AS reset_day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived view over the tables of sf_dir."""
+def derive(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The derived view over the given tables."""
     sql = VIEWS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem") if f"FROM {t}" in sql}
-    for t, df in tables.items():
+    for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(sql, **tables) if tables else spark.sql(sql)
 
 
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derived view over the tables of sf_dir."""
+    used = [t for t in ("orders", "lineitem", "supplier", "events") if f"FROM {t}" in VIEWS[name]]
+    return derive(spark, name, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
 def with_views(sql: str) -> str:
     """Oracle text: sql behind the definitions of the views it names."""
     used = [n for n in VIEWS if n in sql]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.operators import ingest, prefilter, scoring
-from hirelake.plans.queries import ORACLES, QUERIES
+from hirelake.plans.catalog import ORACLES, QUERIES
 from hirelake.sources import normalize
 
 DATA = "/root/testdata/sf0.001"
