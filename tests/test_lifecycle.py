@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake.operators import lifecycle, planning
+from hirelake.operators import lifecycle, location, planning
 from hirelake.sources import feeds
 from hirelake.streaming import landing
 
@@ -59,3 +59,11 @@ def test_stream_stores_each_key_once_over_restarts(spark, tmp_path):
         spark.createDataFrame(batch, POSTS).coalesce(1).write.mode("append").parquet(source)
         landing.start_ingest(spark.readStream.schema(POSTS).parquet(source), table, progress, cutoff).awaitTermination()
     assert sorted(r["seq"] for r in spark.read.parquet(table).collect()) == [1, 5]
+
+
+@pytest.mark.parametrize(
+    ("place", "area", "expected"),
+    [("McLean, VA", "Virginia", True), ("Savannah, GA", "va", False), ("Charleston, West Virginia", "virginia", True), ("Seattle, Washington", "dc", True), ("Austin, TX", " Texas ", True), ("", "va", False), (None, "va", False), ("Bonn", "", False), ("Anacostia DC", "District of Columbia", True)],
+)
+def test_places(spark, place, area, expected):
+    assert spark.range(1).select(location.location_matches(F.lit(place).cast("string"), F.lit(area)).alias("x")).first()["x"] is expected
