@@ -1,18 +1,22 @@
 """Scoring by a log-bilinear language model trained with noise-contrastive estimation, in numpy.
 
-Spark counts the tokens and the pairs of neighbouring model tokens of all training documents. The pair counts over
-the MODEL_WORDS most frequent tokens (others are one class) are all that the model needs: its loss is the expected
-noise-contrastive loss over every pair, of fixed size however large the corpus. One product of the context and target
-matrices, plus the biases, is normalised over targets and scores each token by its predecessor; a rarer token's
-probability is its class's times its smoothed share of the class.
+Each token that occurs LEAST_COUNT times in the training documents has vectors of its own, so the model grows with the
+corpus; the FEWEST_WORDS most frequent tokens have them at any size, and the others are one class. Spark counts the
+pairs of neighbouring model tokens of all training documents and keeps them as a table. In each round the tasks run
+over minibatches of their part of the table, with sampled noise, and what they changed is averaged. Each
+context is normalised over all targets, in blocks. A token is scored by its predecessor; a rarer token's probability
+is its class's times its smoothed share of the class.
 
-Frequent tokens' counts (FREQUENT at most) are broadcast; the others meet their counts in a shuffle join.
+Frequent tokens' counts (FREQUENT at most, besides the model's) are broadcast; the others meet their counts in a
+shuffle join.
 Cases: null and empty texts are one end token; tokens that training didn't see count as zero; with no training
-documents counts are zero and the model is uniform; repeated rows get equal results; extra columns are not read.
+documents counts are zero and the model is its starting values; repeated rows get equal results; extra columns are not
+read.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,11 +28,16 @@ from pyspark.sql import functions as F
 from .common import cut, held_out, table
 
 FOLDS = 5
-#: Tokens with vectors of their own; besides, one class for the others, and the start of a text as a context.
-MODEL_WORDS = 1022
+#: Tokens of this count have vectors of their own, and the most frequent ones whatever their count; besides, there are
+#: one class for the others, and the start of a text as a context.
+LEAST_COUNT, FEWEST_WORDS = 100, 1022
 DIMENSIONS = 24
 NOISE = 10
-#: Tokens whose counts are broadcast, at most.
+#: Rounds of training; pairs of a minibatch; noise targets that its pairs share; visits of pairs in a round, at least
+#: (few pairs are passed over up to MOST_PASSES times); rows of a block of vectors; contexts that are
+#: normalised together; step size.
+ROUNDS, BATCH, SHARED, LEAST_VISITS, MOST_PASSES, BLOCK, CONTEXTS, RATE = 4, 1024, 10 * NOISE, 2_000_000, 50, 8192, 256, 0.1
+#: Tokens whose counts are broadcast, at most, besides the model's.
 FREQUENT = 100_000
 #: The end of a text among the tokens; no word holds a space.
 END = " "
@@ -53,10 +62,11 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 def count_pairs(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(context, target, n): neighbouring classes of docs(text); the start is class 0, the others' class 1."""
-    known = {w: i + 2 for i, w in enumerate(vocabulary)}
+    shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(vocabulary)})
     size = len(vocabulary) + 2
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
             ids = [np.fromiter((known.get(w, 1) for w in tokens(t)), np.int64) for t in b["text"]]
             keys, n = np.unique(np.concatenate([np.concatenate([[0], x[:-1]]) * size + x for x in ids]), return_counts=True)
@@ -65,37 +75,131 @@ def count_pairs(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select("text").mapInPandas(count, "context int, target int, n long").groupBy("context", "target").agg(F.sum("n").alias("n"))
 
 
-def train_nce(counts: np.ndarray, rounds: int = 150, rate: float = 0.05, seed: int = 11) -> np.ndarray:
-    """Log10-probabilities (context, target) of the model fitted to a matrix of pair counts.
-
-    Pairs are drawn from the counts, NOISE noise targets for each from the unigram; the loss is the mean over all
-    such draws. Weights are updated by Adam.
-    """
-    rng = np.random.default_rng(seed)
-    size = len(counts)
-    share = (counts / max(counts.sum(), 1)).astype(np.float64)
-    unigram = counts.sum(axis=0) + 0.5
-    unigram[0] = 1e-9  # a text's start is never a target
-    unigram /= unigram.sum()
-    noise = np.outer(share.sum(axis=1), unigram) * NOISE
-    params = [rng.normal(0, 0.05, (size, DIMENSIONS)), rng.normal(0, 0.05, (size, DIMENSIONS)), np.log(unigram)]
-    base = np.log(NOISE * unigram)
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    weight = 1 / (share.sum(axis=1, keepdims=True) + 1e-6)  # contexts count by the root of their frequency
-    weight = np.sqrt(weight) / np.sqrt(weight).max()
-    for t in range(1, rounds + 1):
-        r, q, b = params
-        real = 1 / (1 + np.exp(-np.clip(r @ q.T + b - base, -30, 30)))
-        g = (noise * real - share * (1 - real)) * weight
-        for p, d, a, c in zip(params, [g @ q + 1e-7 * r, g.T @ r + 1e-7 * q, g.sum(axis=0)], m, v, strict=True):
-            a += 0.1 * (d - a)
-            c += 0.01 * (d * d - c)
-            p -= rate * (1 - t / (rounds + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(c / (1 - 0.99**t)) + 1e-12)
-    r, q, b = params
-    z = r @ q.T + b
+class Model:
+    """Weights (context vector, target vector, bias) of each class, and beside them the mean squares that Adagrad keeps for each of the three."""
+
+    def __init__(self, contexts: np.ndarray, targets: np.ndarray, n_pairs: int, seed: int = 11):
+        """contexts and targets: how often each class is the one and the other; n_pairs: different pairs."""
+        unigram = targets + 0.5
+        unigram[0] = 1e-9  # a text's start is never a target
+        unigram = unigram / unigram.sum()
+        self.noise = np.cumsum(unigram)
+        self.base = np.log(NOISE * unigram).astype(np.float32)
+        self.root = np.sqrt(np.maximum(contexts, 1))  # contexts count by the root of their frequency
+        self.mean = max(np.sqrt(contexts).sum() / max(n_pairs, 1), 1e-12)
+        self.passes = int(np.clip(LEAST_VISITS // max(n_pairs, 1), 1, MOST_PASSES))
+        self.weights = np.random.default_rng(seed).normal(0, 0.05, (len(targets), 2 * DIMENSIONS + 1)).astype(np.float32)
+        self.weights[:, -1] = np.log(unigram)
+        self.squares = np.full((len(targets), 3), 1e-6, np.float32)
+
+    def learn(self, context: np.ndarray, target: np.ndarray, n: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over pairs; a heavy one is visited more than once, with a part of its weight each time.
+
+        seen (class, 2): minibatches that changed a class as context and as target; counted up here.
+        """
+        weight = n / self.root[context] / self.mean
+        visits = np.ceil(weight / 4).astype(np.int64)
+        order = rng.permutation(np.repeat(np.arange(len(n)), visits))
+        weight = (weight / visits).astype(np.float32)
+        for k in range(0, len(order), BATCH):
+            i = order[k : k + BATCH]
+            self._step(context[i], target[i], weight[i, None], np.minimum(np.searchsorted(self.noise, rng.random(SHARED)), len(self.noise) - 1), seen)
+
+    def _step(self, c: np.ndarray, t: np.ndarray, w: np.ndarray, y: np.ndarray, seen: np.ndarray) -> None:
+        d = DIMENSIONS
+        own, real, fake = self.weights[c, :d], self.weights[t, d:], self.weights[y, d:]
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        up = w * (sigmoid((own * real[:, :d]).sum(axis=1) + real[:, d] - self.base[t]) - 1)[:, None]
+        down = w * sigmoid(own @ fake[:, :d].T + fake[:, d] - self.base[y]) * np.float32(NOISE / SHARED)
+        one = np.ones((len(c), 1), np.float32)
+        to_target = np.concatenate([up * np.hstack([own, one]), down.T @ np.hstack([own, one])])
+        for ids, g, first, side in ((c, up * real[:, :d] + down @ fake[:, :d], 0, 0), (np.concatenate([t, y]), to_target, d, 1)):
+            order = np.argsort(ids, kind="stable")
+            rows, starts = np.unique(ids[order], return_index=True)
+            g = np.add.reduceat(g[order], starts, axis=0)
+            for cols, which in ((slice(0, d), side), (slice(d, None), 2))[: side + 1]:
+                self.squares[rows, which] += (g[:, cols] * g[:, cols]).mean(axis=1)
+                g[:, cols] *= RATE / np.sqrt(self.squares[rows, which])[:, None]
+            self.weights[rows, first : first + g.shape[1]] -= g
+            seen[rows, side] += 1
+
+    def normaliser(self, first: int, last: int) -> np.ndarray:
+        """log of the sum over all targets but the start, for contexts first to last."""
+        own, d = self.weights[first:last, :DIMENSIONS], DIMENSIONS
+        top, total = np.full(len(own), -np.inf), np.zeros(len(own))
+        for k in range(1, len(self.weights), BLOCK):
+            block = self.weights[k : k + BLOCK]
+            z = own @ block[:, d : 2 * d].T + block[:, 2 * d]
+            high = np.maximum(top, z.max(axis=1))
+            z -= high[:, None].astype(np.float32)
+            total = total * np.exp(top - high) + np.exp(z, out=z).sum(axis=1, dtype=np.float64)
+            top = high
+        return top + np.log(total)
+
+
+def train_nce(counts: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Log10-probabilities (context, target) of the model fitted to a small matrix of pair counts."""
+    c, t = np.nonzero(counts)
+    model, rng = Model(counts.sum(axis=1), counts.sum(axis=0), len(c), seed), np.random.default_rng(seed)
+    for _ in range(ROUNDS * model.passes):
+        model.learn(c, t, counts[c, t], np.zeros((len(counts), 2)), rng)
+    z = model.weights[:, :DIMENSIONS] @ model.weights[:, DIMENSIONS:-1].T + model.weights[:, -1] - model.normaliser(0, len(counts))[:, None]
     z[:, 0] = -np.inf
-    z -= z.max(axis=1, keepdims=True)
-    return ((z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
+    return (z / np.log(10)).astype(np.float32)
+
+
+def train(pairs: DataFrame, contexts: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and each context's normaliser, of the model fitted to the table pairs(context, target, n)."""
+    spark = pairs.sparkSession
+    sc = spark.sparkContext
+    pairs = cut(pairs)
+    model = Model(contexts, targets, pairs.count())
+    size, width = model.weights.shape
+    parts = pairs.coalesce(sc.defaultParallelism)
+    for turn in range(ROUNDS):
+        shared = sc.broadcast(model)
+
+        def learn(batches: Iterator[pd.DataFrame], turn: int = turn, shared=shared) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            own, seen = copy.deepcopy(shared.value), np.zeros((size, 2), np.float32)
+            rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
+            if own.passes > 1:  # few pairs: held together to be passed over again
+                batches = list(batches)
+                batches = [pd.concat(batches)] * own.passes if batches else []
+            for b in batches:
+                own.learn(b["context"].to_numpy(), b["target"].to_numpy(), b["n"].to_numpy(), seen, rng)
+            for k in range(0, size, BLOCK):
+                rows = slice(k, k + BLOCK)
+                if seen[rows].any():
+                    yield pd.DataFrame({"first": [k], "seen": [seen[rows].tobytes()], "weights": [own.weights[rows].tobytes()], "squares": [own.squares[rows].tobytes()]})
+
+        def merge(changed: pd.DataFrame) -> pd.DataFrame:
+            """Means of what the tasks made of a block of classes, by how often each changed a class."""
+            seen = np.stack([np.frombuffer(x, np.float32).reshape(-1, 2) for x in changed["seen"]]) + np.float32(1e-6)
+            out = {"first": changed["first"].iloc[0]}
+            for name, by in (("weights", (DIMENSIONS, DIMENSIONS + 1)), ("squares", (1, 2))):
+                values = np.stack([np.frombuffer(x, np.float32).reshape(len(seen[0]), -1) for x in changed[name]])
+                out[name] = np.average(values, axis=0, weights=np.repeat(seen, by, axis=2)).astype(np.float32).tobytes()
+            return pd.DataFrame([out])
+
+        changed = parts.mapInPandas(learn, "first int, seen binary, weights binary, squares binary")
+        for r in changed.groupBy("first").applyInPandas(merge, "first int, weights binary, squares binary").toArrow().to_pylist():
+            rows = slice(r["first"], r["first"] + BLOCK)
+            model.weights[rows] = np.frombuffer(r["weights"], np.float32).reshape(-1, width)
+            model.squares[rows] = np.frombuffer(r["squares"], np.float32).reshape(-1, 3)
+        shared.destroy()
+    shared = sc.broadcast(model)
+
+    def normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b["id"]:
+                yield pd.DataFrame({"first": [k], "logs": [shared.value.normaliser(k, k + CONTEXTS).tobytes()]})
+
+    logs = np.zeros(size)
+    for r in spark.range(0, size, CONTEXTS, sc.defaultParallelism * 4).mapInPandas(normalise, "first long, logs binary").collect():
+        logs[r["first"] : r["first"] + CONTEXTS] = np.frombuffer(r["logs"])
+    return model.weights, logs.astype(np.float32)
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -103,27 +207,36 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = cut(count_tokens(training))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
-    frequent = {r["token"]: r["c"] for r in top}
-    vocabulary = [r["token"] for r in top[:MODEL_WORDS]]
-    pairs = count_pairs(training, vocabulary).toPandas()  # the square of the model's classes at most
-    matrix = np.zeros((MODEL_WORDS + 2,) * 2)
-    matrix[pairs["context"], pairs["target"]] = pairs["n"]
+    often = counts.groupBy("c").agg(F.count("*").alias("tokens")).toPandas().sort_values("c", ascending=False)
+    often = often[(often["tokens"].cumsum() <= FREQUENT) | (often["c"] >= LEAST_COUNT)]
+    ordered = counts.orderBy(F.desc("c"), "token").limit(FEWEST_WORDS)
+    top = pd.concat([ordered.toPandas(), counts.where(F.col("c") >= int(often["c"].min()) if len(often) else F.lit(False)).toPandas()])
+    top = top.drop_duplicates("token").sort_values(["c", "token"], ascending=[False, True])
+    frequent = dict(zip(top["token"], top["c"].tolist(), strict=True))
+    vocabulary = top["token"].tolist()[: max(int((top["c"] >= LEAST_COUNT).sum()), FEWEST_WORDS)]
     tail_n = n - sum(frequent[w] for w in vocabulary)
+    targets = np.array([0, tail_n] + [frequent[w] for w in vocabulary], np.float64)
+    contexts = targets.copy()  # any token but a text's end is followed by one
+    contexts[0] = targets[vocabulary.index(END) + 2] if END in frequent else 0
+    if END in frequent:
+        contexts[vocabulary.index(END) + 2] = 0
+    model = train(count_pairs(training, vocabulary), contexts, targets)
     tail_v = v - len(vocabulary)
-    shared = spark.sparkContext.broadcast((frequent, {w: i + 2 for i, w in enumerate(vocabulary)}, train_nce(matrix)))
+    shared = spark.sparkContext.broadcast((frequent, {w: i + 2 for i, w in enumerate(vocabulary)}, *model))
     base_norm, tail_norm = np.log10(n + 0.5 * (v + 1)), np.log10(tail_n + 0.5 * (tail_v + 1))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row of sums for each document, and a row for each of its rarer tokens."""
-        count, place, table = shared.value
+        count, place, weights, norm = shared.value
         logs = {w: np.log10(c + 0.5) for w, c in count.items()}
-        for b in batches:
+        for b in (b[k : k + BATCH] for b in batches for k in range(0, len(b), BATCH)):
             out = []
             for doc, mark, text in zip(b["doc_id"], b["mark"], b["text"], strict=True):
                 w = tokens(text)
                 ids = np.fromiter((place.get(x, 1) for x in w), np.int64)
-                model = float(table[np.concatenate([[0], ids[:-1]]), ids].sum(dtype=np.float64))
+                before = np.concatenate([[0], ids[:-1]])
+                logs_e = np.einsum("ij,ij->i", weights[before, :DIMENSIONS], weights[ids, DIMENSIONS:-1]) + weights[ids, -1] - norm[before]
+                model = float(logs_e.sum(dtype=np.float64) / np.log(10))
                 base, tail, known, rare = 0.0, 0.0, 0, {}
                 for x, i in zip(w, ids, strict=True):
                     if (s := logs.get(x)) is None:

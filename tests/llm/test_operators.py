@@ -189,3 +189,12 @@ def test_pipeline_stages_keep_columns(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
+
+
+def test_language_model_grows_with_the_words(spark):
+    """Each of 1,500 frequent words has one successor; those beyond the 1,022 first know theirs too."""
+    names = [f"v{i:04d}" for i in range(1500)]
+    ring = spark.createDataFrame([(i, " ".join(names[(i * 15 + k) % 1500] for k in range(1500))) for i in range(100)], "doc_id long, text string")
+    late = [names[i] for i in range(1100, 1500)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame([(1, " ".join(late)), (2, " ".join(late[::-1]))], "doc_id long, text string"), ring).collect()}
+    assert got[1] > got[2] + 200
