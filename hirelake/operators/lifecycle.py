@@ -115,3 +115,9 @@ def parse_match_responses(responses: DataFrame) -> DataFrame:
     kept = jobs.where("j.job_key is not null")
     total = F.when(F.col("j.total_job_requirements") > 0, F.col("j.total_job_requirements"))
     return kept.select(F.col("j.job_key").alias("job_key"), total.alias("total_job_requirements"), F.inline("j.match_pairs"))
+
+
+def expire_jobs(jobs: DataFrame, verdicts: DataFrame, oldest: Column) -> DataFrame:
+    """jobs (job_key, date_found) without those found before oldest that no verdict, scored or not, refers to."""
+    gone = jobs.where(F.col("date_found") < oldest).select("job_key").join(verdicts.select("job_key"), "job_key", "left_anti")
+    return jobs.join(gone, "job_key", "left_anti")

@@ -49,6 +49,7 @@ SELECT o_custkey % 8 + 1 AS profile_id, o_orderkey AS job_key, {_item(STATUSES,
   CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderkey * 11 % 201 END AS candidate_score,
   o_orderkey * 13 % 101 / CAST(100 AS DOUBLE) AS match_score
 FROM orders""",
+    "recorded": "SELECT o_custkey % 8 + 1 AS profile_id, o_orderkey AS job_key, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderkey * 7 % 201 END AS manager_score FROM orders WHERE o_orderkey % 4 <> 1",
     "pairs": """
 SELECT l_orderkey AS job_key, CASE l_partkey % 8 WHEN 0 THEN 'Skill' WHEN 1 THEN ' experience' WHEN 2 THEN 'domain' WHEN 3 THEN 'compensation' WHEN 4 THEN 'EQUITY' WHEN 5 THEN 'benefits ' WHEN 6 THEN 'work_arrangement' ELSE 'culture_growth' END AS category,
   CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN 'Salary not disclosed' ELSE 'job side' END AS job_side,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest, prefilter, scoring
+from ..operators import ingest, lifecycle, prefilter, scoring
 from ..sources import normalize
 from .fixtures import AS_OF, RETENTION_DAYS, view, with_views
 
@@ -148,6 +148,12 @@ def expire_jobs(spark, d):
     return jobs.select("seq").join(gone, "seq", "left_anti")
 
 
+@query("expire_unreferenced_jobs", f"SELECT seq FROM postings WHERE date_found >= {NOW} - {RETENTION_DAYS} OR seq IN (SELECT job_key FROM recorded)")
+def expire_unreferenced_jobs(spark, d):
+    jobs = view(spark, d, "postings").select(F.col("seq").alias("job_key"), "date_found")
+    return lifecycle.expire_jobs(jobs, view(spark, d, "recorded"), F.date_sub(F.lit(AS_OF).cast("date"), RETENTION_DAYS)).select(F.col("job_key").alias("seq"))
+
+
 @query("purge_stale_verdicts", f"SELECT profile_id, job_key FROM verdicts WHERE NOT ((hidden OR status = 'new') AND NOT coalesce(saved, false) AND NOT {ACTIVE})")
 def purge_stale_verdicts(spark, d):
     stale = (F.col("hidden") | (F.col("status") == "new")) & ~F.coalesce("saved", F.lit(False)) & ~F.expr(ACTIVE)

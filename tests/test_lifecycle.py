@@ -67,3 +67,10 @@ def test_stream_stores_each_key_once_over_restarts(spark, tmp_path):
 )
 def test_places(spark, place, area, expected):
     assert spark.range(1).select(location.location_matches(F.lit(place).cast("string"), F.lit(area)).alias("x")).first()["x"] is expected
+
+
+def test_any_verdict_keeps_an_expired_job(spark):
+    d = datetime.date
+    jobs = spark.createDataFrame([(1, d(2024, 1, 1)), (2, d(2024, 1, 1)), (3, d(2024, 1, 1)), (4, d(2024, 1, 20))], "job_key int, date_found date")
+    verdicts = spark.createDataFrame([(1, 90), (1, 70), (2, None)], "job_key int, manager_score int")
+    assert sorted(r["job_key"] for r in lifecycle.expire_jobs(jobs, verdicts, F.lit(d(2024, 1, 10))).collect()) == [1, 2, 4]
