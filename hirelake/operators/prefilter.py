@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of titles that carry no meaning.
@@ -62,3 +62,12 @@ def first_reason() -> Column:
         F.concat(F.lit("type: "), kind),
         F.concat(F.lit("title: "), title),
     )
+
+
+def unjudged_pairs(jobs: DataFrame, profiles: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Each of jobs (seq) beside each of profiles (profile_id), without the pairs that any of verdicts records.
+
+    The profiles are few and broadcast; the profile that fetched a posting plays no part.
+    """
+    pairs = jobs.drop("profile_id").crossJoin(F.broadcast(profiles))
+    return pairs.join(verdicts.select("profile_id", "seq"), ["profile_id", "seq"], "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,23 +81,23 @@ def matched(spark, d) -> DataFrame:
 
 
 @query("filter_company_exclude", "SELECT seq, profile_id FROM postings JOIN profiles USING (profile_id) WHERE NOT coalesce(list_bool_or(list_transform(list_filter(string_split(company_exclude, '|'), lambda x: x <> ''), lambda x: contains(lower(company), x) OR contains(x, lower(company)))), false)")
-def filter_company_exclude(spark, d):
-    return matched(spark, d).where(~prefilter.excluded_company(F.col("company"), prefilter.items(F.col("company_exclude")))).select("seq", "profile_id")
+def filter_company_exclude(spark, d, pairs=matched):
+    return pairs(spark, d).where(~prefilter.excluded_company(F.col("company"), prefilter.items(F.col("company_exclude")))).select("seq", "profile_id")
 
 
 @query("filter_remote_type", "SELECT seq, profile_id FROM postings JOIN profiles USING (profile_id) WHERE remote_pref IN ('', 'flexible') OR remote_type IN ('unknown', remote_pref)")
-def filter_remote_type(spark, d):
-    return matched(spark, d).where(~prefilter.wrong_remote_type(F.col("remote_type"), F.col("remote_pref"))).select("seq", "profile_id")
+def filter_remote_type(spark, d, pairs=matched):
+    return pairs(spark, d).where(~prefilter.wrong_remote_type(F.col("remote_type"), F.col("remote_pref"))).select("seq", "profile_id")
 
 
 @query("filter_salary_floor", "SELECT seq, profile_id FROM postings JOIN profiles USING (profile_id) WHERE salary_min IS NULL OR salary_min = 0 OR salary_min >= salary_floor")
-def filter_salary_floor(spark, d):
-    return matched(spark, d).where(~prefilter.below_floor(F.col("salary_min"), F.col("salary_floor"))).select("seq", "profile_id")
+def filter_salary_floor(spark, d, pairs=matched):
+    return pairs(spark, d).where(~prefilter.below_floor(F.col("salary_min"), F.col("salary_floor"))).select("seq", "profile_id")
 
 
 @query("filter_title_exclude", "SELECT seq, profile_id, list_filter(string_split(exclude_titles, '|'), lambda x: x <> '' AND regexp_matches(lower(title), concat('\\b', x, '\\b')))[1] AS hit FROM postings JOIN profiles USING (profile_id)")
-def filter_title_exclude(spark, d):
-    return matched(spark, d).select("seq", "profile_id", prefilter.excluded_title(F.col("title"), prefilter.items(F.col("exclude_titles"))).alias("hit"))
+def filter_title_exclude(spark, d, pairs=matched):
+    return pairs(spark, d).select("seq", "profile_id", prefilter.excluded_title(F.col("title"), prefilter.items(F.col("exclude_titles"))).alias("hit"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in prefilter.TITLE_STOPWORDS)
@@ -104,8 +105,8 @@ _WORDS = lambda c: f"list_filter(list_transform(regexp_split_to_array(lower({c})
 
 
 @query("title_filter", f"SELECT seq, profile_id FROM postings JOIN profiles USING (profile_id) WHERE job_titles = '' OR title = '' OR list_has_any({_WORDS('title')}, {_WORDS('replace(job_titles, chr(124), chr(32))')}) OR list_bool_or(list_transform(string_split(lower(job_titles), '|'), lambda x: contains(lower(title), x)))")
-def title_filter(spark, d):
-    return matched(spark, d).where(prefilter.title_matches(F.col("title"), prefilter.items(F.col("job_titles")))).select("seq", "profile_id")
+def title_filter(spark, d, pairs=matched):
+    return pairs(spark, d).where(prefilter.title_matches(F.col("title"), prefilter.items(F.col("job_titles")))).select("seq", "profile_id")
 
 
 @query("select_unscored", f"SELECT p.profile_id, seq FROM postings p WHERE {EFFECTIVE} >= concat('', {NOW} - {RETENTION_DAYS}) AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.profile_id = p.profile_id AND v.job_key = p.seq AND v.manager_score IS NOT NULL)")
@@ -217,5 +218,25 @@ def search_mode(spark, d):
  CASE WHEN remote_pref NOT IN ('', 'flexible') AND remote_type NOT IN ('unknown', remote_pref) THEN concat('remote: ', remote_type) END, CASE WHEN salary_floor > 0 AND salary_min < salary_floor THEN 'salary' END,
  CASE WHEN exclude_types <> '' AND contains(lower(concat(company, ' ', title)), exclude_types) THEN concat('type: ', exclude_types) END,
  'title: ' || list_filter(string_split(exclude_titles, '|'), lambda x: x <> '' AND regexp_matches(lower(title), concat('\\b', x, '\\b')))[1]) AS reason FROM postings JOIN profiles USING (profile_id)""")
-def pre_filter_reasons(spark, d):
-    return matched(spark, d).select("seq", "profile_id", prefilter.first_reason().alias("reason"))
+def pre_filter_reasons(spark, d, pairs=matched):
+    return pairs(spark, d).select("seq", "profile_id", prefilter.first_reason().alias("reason"))
+
+
+def unjudged(spark, d) -> DataFrame:
+    """Postings within retention beside every profile that has recorded no verdict on them."""
+    verdicts = view(spark, d, "recorded").withColumnRenamed("job_key", "seq")
+    return prefilter.unjudged_pairs(view(spark, d, "postings").where(effective_date() >= OLDEST), view(spark, d, "profiles"), verdicts)
+
+
+_UNJUDGED = f"(SELECT * FROM (SELECT * EXCLUDE (profile_id) FROM postings) p CROSS JOIN profiles r WHERE {EFFECTIVE} >= concat('', {NOW} - {RETENTION_DAYS}) AND NOT EXISTS (SELECT 1 FROM recorded v WHERE v.profile_id = r.profile_id AND v.job_key = p.seq))"
+
+
+@query("select_unscored_all", f"SELECT profile_id, seq FROM {_UNJUDGED}")
+def select_unscored_all(spark, d):
+    return unjudged(spark, d).select("profile_id", "seq")
+
+
+# The rules over every unjudged pair, beside the same rules over each posting and the profile that fetched it.
+for _rule in (filter_company_exclude, filter_remote_type, filter_salary_floor, filter_title_exclude, title_filter, pre_filter_reasons):
+    _sql = "SELECT seq, " + ORACLES[_rule.__name__].split(") SELECT seq, ", 1)[1]
+    query(f"{_rule.__name__}_all", _sql.replace("postings JOIN profiles USING (profile_id)", _UNJUDGED))(partial(_rule, pairs=unjudged))

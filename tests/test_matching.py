@@ -63,3 +63,11 @@ def test_rebalance_is_idempotent(spark):
     assert first.where("not hidden").count() == 5
     again = v.drop("hidden").join(first.select("job_key", "hidden"), "job_key")
     assert scoring.rebalance_visible(again, 5, 0.4).where("moved <> 'same'").count() == 0
+
+
+def test_pairs_of_all_profiles_without_any_verdict(spark):
+    jobs = spark.createDataFrame([(1, 1), (2, 1)], "seq int, profile_id int")
+    profiles = spark.createDataFrame([(1,), (2,), (3,)], "profile_id int")
+    verdicts = spark.createDataFrame([(1, 1, 90), (2, 1, None)], "profile_id int, seq int, manager_score int")
+    got = prefilter.unjudged_pairs(jobs, profiles, verdicts).select("profile_id", "seq").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, 2), (3, 1), (3, 2)]
