@@ -51,6 +51,21 @@ def keyword_queries(profiles: DataFrame) -> DataFrame:
     return profiles.select("profile_id", F.explode(F.array_compact(F.array(primary, second))).alias("query"))
 
 
+def uncovered(companies: DataFrame, budget: int) -> DataFrame:
+    """Those of companies that budgeted_queries leaves out: all without a budget, else none, as its packs grow to fit."""
+    return companies if budget <= 0 else companies.where("false")
+
+
+def keyword_plan(profiles: DataFrame, companies: DataFrame) -> DataFrame:
+    """(profile_id, query, location): keyword_queries, and the primary title at each of companies (profile_id, company)
+    that no budgeted query covers; the place is the first of locations, or remote if remote_type says so, or empty."""
+    primary = F.coalesce(F.get("hard_titles", F.lit(0)), F.get("soft_titles", F.lit(0)), F.lit("Software Engineer"))
+    place = F.coalesce(F.get("locations", F.lit(0)), F.when(F.col("remote_type") == "remote", "remote"), F.lit(""))
+    own = profiles.select("profile_id", primary.alias("_title"), place.alias("location"))
+    at = companies.join(own, "profile_id").select("profile_id", F.concat("_title", F.lit(" at "), "company").alias("query"), "location")
+    return keyword_queries(profiles).join(own, "profile_id").select("profile_id", "query", "location").unionByName(at)
+
+
 def reset_after(day: Column, reset_day: Column) -> Column:
     """The reset day in the month after day, clamped to that month's end."""
     last = F.last_day(F.add_months(day, 1))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import planning
 from .fixtures import view
-from .queries import query
+from .queries import ORACLES, query
 
 BUDGET, LIMIT = 3, 50
 LIST = "SELECT profile_id, company, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY rank, pos) AS INTEGER) AS place FROM (SELECT profile_id, trim(company) AS company, pos, CASE kind WHEN 'required' THEN 0 ELSE 1 END AS rank FROM wishes w WHERE trim(company) <> '' AND kind <> 'excluded' AND NOT EXISTS (SELECT 1 FROM wishes x WHERE x.profile_id = w.profile_id AND x.kind = 'excluded' AND trim(lower(x.company)) = trim(lower(w.company))) QUALIFY row_number() OVER (PARTITION BY profile_id, lower(trim(company)) ORDER BY CASE kind WHEN 'required' THEN 0 ELSE 1 END, pos) = 1)"
@@ -38,6 +38,23 @@ def keyword_queries(spark, d):
     return planning.keyword_queries(rows.select("profile_id", hard.alias("hard_titles"), soft.alias("soft_titles"), F.array(F.lit("DATA"), F.lit("spark")).alias("keywords")))
 
 
+_PRIMARY = "CASE profile_id % 3 WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Nurse' ELSE 'Clerk' END"
+_PLACE = "CASE profile_id % 4 WHEN 0 THEN 'Bonn' WHEN 1 THEN 'remote' ELSE '' END"
+_GENERAL = "SELECT profile_id, unnest(" + ORACLES["keyword_queries"].split(") SELECT profile_id, unnest(", 1)[1]
+
+
+@query("keyword_plan", f"SELECT profile_id, query, {_PLACE} AS location FROM ({_GENERAL}) UNION ALL SELECT profile_id, concat({_PRIMARY}, ' at ', company), {_PLACE} FROM ({COVERED}) WHERE NOT has_board")
+def keyword_plan(spark, d):
+    """The plan of a run whose budget is used up."""
+    k = F.col("profile_id")
+    hard = F.when(k % 3 == 0, F.array(F.lit("Data Engineer"))).when(k % 3 == 1, F.array(F.lit("Nurse"))).otherwise(F.array().cast("array<string>"))
+    soft = F.when(k % 5 > 0, F.array(F.lit("Clerk"), F.lit("Analyst"))).otherwise(F.array(F.lit("Clerk")))
+    places = F.when(k % 4 == 0, F.array(F.lit("Bonn"), F.lit("Ulm"))).otherwise(F.array().cast("array<string>"))
+    rows = view(spark, d, "wishes").select("profile_id").distinct()
+    profiles = rows.select("profile_id", hard.alias("hard_titles"), soft.alias("soft_titles"), F.array(F.lit("DATA"), F.lit("spark")).alias("keywords"), places.alias("locations"), F.when(k % 4 < 2, "remote").otherwise("hybrid").alias("remote_type"))
+    return planning.keyword_plan(profiles, planning.uncovered(board_coverage(spark, d).where("not has_board"), 0))
+
+
 @query("quota_ledger", f"SELECT service, concat('', day) AS day, used, greatest({LIMIT} - used, 0) AS remaining, used >= {LIMIT} AS exhausted FROM (SELECT service, day, CAST(sum(n) OVER (PARTITION BY service ORDER BY day) AS BIGINT) AS used FROM usage)")
 def quota_ledger(spark, d):
     return planning.quota_ledger(view(spark, d, "usage"), LIMIT).withColumn("day", F.col("day").cast("string"))

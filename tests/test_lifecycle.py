@@ -74,3 +74,12 @@ def test_any_verdict_keeps_an_expired_job(spark):
     jobs = spark.createDataFrame([(1, d(2024, 1, 1)), (2, d(2024, 1, 1)), (3, d(2024, 1, 1)), (4, d(2024, 1, 20))], "job_key int, date_found date")
     verdicts = spark.createDataFrame([(1, 90), (1, 70), (2, None)], "job_key int, manager_score int")
     assert sorted(r["job_key"] for r in lifecycle.expire_jobs(jobs, verdicts, F.lit(d(2024, 1, 10))).collect()) == [1, 2, 4]
+
+
+def test_uncovered_companies_have_keyword_queries(spark):
+    profiles = spark.createDataFrame([(1, ["Nurse"], ["Clerk"], [], ["Bonn", "Ulm"], "remote"), (2, [], [], [], [], "remote")], "profile_id int, hard_titles array<string>, soft_titles array<string>, keywords array<string>, locations array<string>, remote_type string")
+    companies = spark.createDataFrame([(1, "A", 1), (2, "B", 1)], "profile_id int, company string, place int")
+    plan = lambda budget: sorted(map(tuple, planning.keyword_plan(profiles, planning.uncovered(companies, budget)).collect()))
+    general = [(1, "Nurse", "Bonn"), (2, "Software Engineer", "remote")]
+    assert plan(1) == general
+    assert plan(0) == sorted([*general, (1, "Nurse at A", "Bonn"), (2, "Software Engineer at B", "remote")])
