@@ -3,9 +3,11 @@
 Pieces are cut by the tokenizer's pattern. The rank file becomes a literal table of mergeable pairs. Each distinct word
 starts as an array of byte tokens; an ``aggregate`` merges the pair of least rank, the leftmost first, until none is
 left. The most frequent pieces of the corpus (FREQUENT at most) are folded once and broadcast; every other distinct
-piece of a document is folded in that document's row. Decoding concatenates the tokens' bytes.
+piece of a document is folded in that document's row. A piece over LONG_PIECE bytes is first cut between bytes that
+stand side by side in no token, where no merge can cross. Decoding concatenates the tokens' bytes.
 
-Cases: null and empty texts give no tokens and decode to nothing; repeated rows get equal results; extra columns stay.
+Cases: null and empty texts give no tokens and decode to nothing; repeated rows get equal results; an empty table gives
+no rows; extra columns stay, but columns ids and decoded are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import batch_rows, cut, most_frequent, stored, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 FREQUENT = 500_000
-#: Words of more tokens than this merge all places of a pair in one step.
-LONG = 48
+#: Words of more tokens than this merge all places of a pair in one step; pieces of more bytes than this are cut first.
+LONG, LONG_PIECE = 48, 200
 #: Above all ranks: no merge.
 NONE = 65_535
 #: Factor, shift and size of the two hashes of the pair table.
@@ -122,12 +124,17 @@ def _merge_fold(ids: Column, shifts: Column, slots: Column) -> Column:
         merged = lambda c: F.transform(s, lambda x, i: F.when(F.get(c, i) == "1", F.shiftright(m, 16)).when((i > 0) & (F.get(c, i - 1) == "1"), F.lit(-1).cast("long")).otherwise(token(x)))
         return _let(F.filter(_let(chosen, merged), lambda x: x >= 0), elements)
 
-    def step(s: Column) -> Column:
-        place = lambda m: _let(F.array_position(s, m).cast("int"), lambda i: one(s, m, i))
-        return _let(F.array_min(s), lambda m: F.when(F.shiftright(m, 16) == NONE, s).when(F.size(s) > LONG, every(s, m)).otherwise(place(m)))
+    def step(state: Column) -> Column:
+        """state: the elements, and the least of them; once no merge is left, a step costs nothing."""
+        place = lambda s, m: _let(F.array_position(s, m).cast("int"), lambda i: one(s, m, i))
+        merge = lambda s, m: F.when(F.size(s) > LONG, every(s, m)).otherwise(place(s, m))
+        return F.when(F.shiftright(state["m"], 16) == NONE, state).otherwise(_let(merge(state["s"], state["m"]), with_least))
 
-    start = elements(ids.cast("array<bigint>"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, lambda s, _: step(s), lambda s: F.transform(s, lambda e: token(e).cast("int")))
+    def with_least(s: Column) -> Column:
+        return F.struct(s.alias("s"), F.array_min(s).alias("m"))
+
+    start = _let(elements(ids.cast("array<bigint>")), with_least)
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, lambda s, _: step(s), lambda s: F.transform(s["s"], lambda e: token(e).cast("int")))
     return F.when(F.size(ids) < 2, ids).otherwise(folded)
 
 
@@ -145,6 +152,10 @@ class Encoder:
         self.shifts, self.slots = numbers(shifts, "int"), numbers(slots, "bigint")
         rank = {t: i for i, t in enumerate(self.tokens)}
         self.of_byte = np.array([rank[bytes([b])] for b in range(256)], np.int32)
+        self.touching = np.zeros((256, 256), bool)  # bytes that stand side by side in a token
+        for token in self.tokens:
+            b = np.frombuffer(token, np.uint8)
+            self.touching[b[:-1], b[1:]] = True
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))
@@ -153,24 +164,42 @@ class Encoder:
         return merge_fold(ids, self.shifts, self.slots)
 
     def frequent(self, docs: DataFrame, limit: int = FREQUENT) -> pa.Table:
-        """The corpus's most frequent pieces and their tokens, limit at most."""
+        """The most frequent of the corpus's repeated pieces and their tokens, limit at most."""
         of_byte = self.of_byte
 
         @F.pandas_udf("array<int>")
         def start(words: pd.Series) -> pd.Series:
             return words.map(lambda w: of_byte[np.frombuffer(w.encode(), np.uint8)])
 
-        counts = docs.select(F.explode(self.pieces(F.col("text"))).alias("piece")).groupBy("piece").count()
-        top = counts.orderBy(F.desc("count"), "piece").limit(limit).select("piece").repartition(self.spark.sparkContext.defaultParallelism * 2, "piece")
-        return top.select("piece", start("piece").alias("start")).select("piece", self.fold(F.col("start")).alias("ids")).toArrow()
+        pieces = docs.select(F.explode(self.pieces(F.col("text"))).alias("piece")).where(F.octet_length("piece") <= LONG_PIECE)
+        counts = cut(pieces.groupBy("piece").agg(F.count("*").alias("c")).where("c > 1"))
+        top = most_frequent(counts, limit, "piece").select("piece").repartition(self.spark.sparkContext.defaultParallelism * 2, "piece")
+        return top.select(F.col("piece").cast("binary").alias("piece"), start("piece").alias("start")).select("piece", self.fold(F.col("start")).alias("ids")).toArrow()
 
     def encode(self, docs: DataFrame, limit: int = FREQUENT, then=None, schema: T.StructType | None = None) -> DataFrame:
-        """docs with the column ids, an array of token ids; or what then, run in the same workers, makes of those rows."""
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)  # pieces of 10,000 long texts would fill a worker
+        """docs with the column ids, an array of token ids; or what then, run in the same workers, makes of those rows.
+
+        The result is stored in the shared folder: the pass over the texts runs with batches of ROWS rows, since the
+        pieces of 10,000 long texts would fill a worker, and a later pass would run with the session's batches.
+        """
         known = self.frequent(docs, limit).combine_chunks()
         words, ids = known.column("piece").combine_chunks(), known.column("ids").combine_chunks()
         shared = self.spark.sparkContext.broadcast((words, pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy().astype(np.int32)))
-        of_byte, kept = self.of_byte, [c for c in docs.columns if c != "ids"]
+        of_byte, touching, kept = self.of_byte, self.touching, [c for c in docs.columns if c != "ids"]
+
+        def cut_long(values: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+            """Values and the number of them in each row, with long pieces in parts."""
+            long = np.flatnonzero(pc.binary_length(values).to_numpy(zero_copy_only=False) > LONG_PIECE)
+            if not len(long):
+                return values, sizes
+            parts, sizes, row, at = [], sizes.copy(), np.repeat(np.arange(len(sizes)), sizes), 0
+            for i in long:
+                b = np.frombuffer(values[i].as_buffer(), np.uint8)
+                ends = [0, *(np.flatnonzero(~touching[b[:-1], b[1:]]) + 1).tolist(), len(b)]
+                parts += [values.slice(at, i - at), pa.array([b[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())]
+                sizes[row[i]] += len(ends) - 2
+                at = i + 1
+            return pa.concat_arrays([*parts, values.slice(at)]), sizes
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """pieces to codes: the place among the frequent ones, or -1 - k for the row's k-th other distinct piece."""
@@ -179,7 +208,7 @@ class Encoder:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
                     lists = batch.column("_pieces")
-                    values, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                    values, sizes = cut_long(lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
                     codes = pc.fill_null(pc.index_in(values, value_set=words), -1).to_numpy().astype(np.int32)
                     miss = np.flatnonzero(codes < 0)
                     rows = np.repeat(np.arange(len(sizes)), sizes)[miss]
@@ -188,7 +217,7 @@ class Encoder:
                     keys, back = np.unique(rows * width + other.indices.to_numpy(), return_inverse=True)
                     first = np.searchsorted(keys // width, np.arange(len(sizes) + 1))
                     codes[miss] = -1 - (back - first[rows])
-                    own = other.dictionary.take(pa.array(keys % width)).cast(pa.binary())
+                    own = other.dictionary.take(pa.array(keys % width))
                     ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int32)
                     data = np.frombuffer(own.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(own) else np.zeros(0, np.uint8)
                     starts = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(of_byte[data], pa.int32()))
@@ -219,9 +248,9 @@ class Encoder:
         ints = T.ArrayType(T.IntegerType())
         coded = cut_up.mapInArrow(look_up, T.StructType([*own.fields, T.StructField("_codes", ints), T.StructField("_starts", T.ArrayType(ints))]))
         folded = coded.select(*kept, "_codes", F.transform("_starts", self.fold).alias("_folded"))
-        if then is None:
-            return folded.mapInArrow(assemble, T.StructType([*own.fields, T.StructField("ids", ints)]))
-        return folded.mapInArrow(lambda batches: then(assemble(batches)), schema)
+        whole = T.StructType([*own.fields, T.StructField("ids", ints)])
+        with batch_rows(self.spark, ROWS):
+            return stored(folded.mapInArrow(assemble, whole) if then is None else folded.mapInArrow(lambda batches: then(assemble(batches)), schema))
 
     def decoder(self, kept: list[str]):
         """Function that adds the column decoded to batches with the columns kept."""

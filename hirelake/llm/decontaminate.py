@@ -1,19 +1,23 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised windows of the test items.
+"""Benchmark decontamination: Aho-Corasick automaton over normalised windows of the test items.
 
 Text is normalised to lower-case words joined by one space; the automaton holds every window between spaces, so that
 matches keep to word bounds. Matched words are mapped back to offsets in the original text.
 
-The automaton is broadcast only while the windows are at most MAX_WINDOWS; beyond that the same windows are matched
-by a shuffle join on each document's own windows.
+One automaton holds PART_PAIRS (window, item) pairs; its size in a worker follows from that. A benchmark of more pairs
+is dealt over several automata by hash, each of which scans the text in a pass of its own, and the parts' hits are
+united for each row; so neither the driver nor a worker ever holds more than one part.
 
 Cases: null and wordless texts and items have no windows and no hits; repeated rows get equal results, repeated items
-count once; an empty benchmark hits nothing; extra columns are not read.
+count once; windows of an item without an id count as hits of no item; an empty benchmark hits nothing; extra columns
+stay, but columns of the names n_words, n_hit, items and spans are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -22,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, free_name, table
 
 WINDOW = 10
-#: Distinct windows in one broadcast automaton, at most (about 100 MB in a worker).
-MAX_WINDOWS = 500_000
+#: (window, item) pairs of one automaton, about: 20,000 windows take some 60 MB in a worker.
+PART_PAIRS = 20_000
 #: Bytes of a normalised text: digits, a-z and all beyond ASCII stay, A-Z turn lower, the rest separates words.
 KEPT = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+#: The automaton that a worker built last, by its part's name; tasks of one part follow one another in a worker.
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -55,81 +60,96 @@ def build(pairs: Iterable[tuple[str, list[str]]]) -> ahocorasick.Automaton:
     return automaton
 
 
-def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, int, list[str], list[tuple[int, int]]]:
-    """Words, words hit, items found, and the hit runs as (start, end) character offsets of the original text."""
+def built(name: str, pairs: Iterable[tuple[str, list[str]]]) -> ahocorasick.Automaton:
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(pairs)
+    return _built[name]
+
+
+def hits(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Words of the text, hit words as runs (first, last), and the items found."""
     w = normal_words(text)
     if not w or not len(automaton):
-        return len(w), 0, [], []
+        return len(w), [], []
     found = list(automaton.iter((b" " + b" ".join(w) + b" ").decode("latin-1")))
     if not found:
-        return len(w), 0, [], []
+        return len(w), [], []
     ends = np.cumsum([len(x) + 1 for x in w])  # offset of the space behind each word
-    edges = np.zeros(len(w) + 1, dtype=np.int64)
-    items: set[str] = set()
-    for last, (at, (n, own)) in zip(np.searchsorted(ends, [x for x, _ in found]), found, strict=True):
-        edges[last - n + 1] += 1
-        edges[last + 1] -= 1
-        items.update(own)
-    hit = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    last = np.searchsorted(ends, [x for x, _ in found])
+    items = {i for _, (_, own) in found for i in own}
+    return len(w), united([(b - n + 1, b) for b, (_, (n, _)) in zip(last.tolist(), found, strict=True)]), sorted(items)
+
+
+def united(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs that touch or overlap made one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Character offsets (start, end) in the original text of runs of its words."""
+    if not runs:
+        return []
     raw = text.encode("utf-8", "surrogatepass")
     places = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(KEPT))]
     at = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # characters begun up to each byte
-    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
-    return len(w), len(hit), sorted(items), [(int(at[places[r[0]][0]]) - 1, int(at[places[r[-1]][1] - 1])) for r in runs]
+    return [(int(at[places[a][0]]) - 1, int(at[places[b][1] - 1])) for a, b in runs]
 
 
-def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Distinct (window, item) rows."""
-    if width != WINDOW:
-        raise ValueError("the window's width is fixed")
-    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.explode(_windows("text")).alias("window")).where("item is not null").distinct()
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """Distinct (window, item) rows; the item is null where its id is."""
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.explode(_windows("text")).alias("window")).distinct()
 
 
-def _by_automaton(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([(r["window"], r["items"]) for r in pairs.groupBy("window").agg(F.collect_set("item").alias("items")).toLocalIterator()])
+def _finder(spark: SparkSession, pairs: DataFrame):
+    """UDF from a text to its words, hit runs and items, by an automaton of the pairs, which the driver gathers."""
+    grouped = pairs.groupBy("window").agg(F.collect_set("item").alias("items"))  # leaves null items out
+    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast([(r["window"], r["items"]) for r in grouped.collect()])  # one part
 
-    @F.pandas_udf(FOUND)
+    @F.pandas_udf("n_words long, runs array<struct<first:int,last:int>>, items array<string>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = build(shared.value)
+        own = built(name, shared.value)
         for texts in batches:
-            rows = [scan(t, own) for t in texts]
-            yield pd.DataFrame({"n_words": [r[0] for r in rows], "n_hit": [r[1] for r in rows], "items": [r[2] for r in rows], "spans": [[{"start": a, "end": b} for a, b in r[3]] for r in rows]})
-
-    return docs.select("*", find("text").alias("found")).select(*docs.columns, "found.*")
-
+            rows = [hits(t, own) for t in texts]
+            yield pd.DataFrame({"n_words": [r[0] for r in rows], "runs": [[{"first": a, "last": b} for a, b in r[1]] for r in rows], "items": [r[2] for r in rows]})
 
-def _by_join(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The same result without a broadcast: documents' windows meet the items' by their text, then gather by row."""
-    sizes = [r[0] for r in pairs.select((F.size(F.split("window", " "))).alias("n")).distinct().collect()]  # WINDOW values at most
+    return find
 
-    @F.pandas_udf("array<struct<window:string,first:int,n:int>>")
-    def own_windows(texts: pd.Series) -> pd.Series:
-        def of(text):
-            w = normal_words(text)
-            return [{"window": b" ".join(w[i : i + n]).decode(), "first": i, "n": n} for n in sizes for i in range(len(w) - n + 1)]
 
-        return texts.map(of)
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
-    @F.pandas_udf(FOUND)
-    def gather(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, own in zip(texts, hits, strict=True):
-            w, own = normal_words(text), [] if own is None else own
-            one = build((" ".join(x.decode() for x in w[h["first"] : h["first"] + h["n"]]), h["items"]) for h in own)
-            rows.append(scan(text, one))
-        return pd.DataFrame({"n_words": [r[0] for r in rows], "n_hit": [r[1] for r in rows], "items": [r[2] for r in rows], "spans": [[{"start": a, "end": b} for a, b in r[3]] for r in rows]})
 
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    met = rows.select("_row", F.explode(own_windows("text")).alias("x")).select("_row", "x.*").join(pairs.groupBy("window").agg(F.collect_set("item").alias("items")), "window")
-    hits = met.groupBy("_row").agg(F.collect_list(F.struct("first", "n", "items")).alias("hits"))
-    return rows.join(hits, "_row", "left").select(*docs.columns, gather("text", "hits").alias("found")).select(*docs.columns, "found.*")
+@F.pandas_udf(T.StructType([T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS)]))
+def _spans(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    own = [united((r["first"], r["last"]) for r in (x if x is not None else ())) for x in runs]
+    return pd.DataFrame({"n_hit": [sum(b - a + 1 for a, b in x) for x in own], "spans": [[{"start": a, "end": b} for a, b in offsets(t, x)] for t, x in zip(texts, own, strict=True)]})
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, part_pairs: int = PART_PAIRS) -> DataFrame:
     """docs with n_words, n_hit, items (ids of the items found) and spans (offsets of hit runs)."""
+    spark, docs = docs.sparkSession, docs.drop("n_words", "n_hit", "items", "spans")
+    found, row = free_name("found", docs), free_name("row", docs)
     pairs = cut(item_windows(benchmark))
-    within = pairs.select("window").distinct().limit(max_windows + 1).count() <= max_windows
-    return (_by_automaton if within else _by_join)(docs.drop("n_words", "n_hit", "items", "spans", "found", "_row"), pairs)
+    parts = max(1, -(-pairs.count() // part_pairs))
+    finders = [_finder(spark, pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(parts)) == i)) for i in range(parts)]
+    if parts == 1:
+        met = docs.withColumn(found, finders[0]("text"))
+    else:
+        rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        each = [rows.select(row, f("text").alias(found)) for f in finders]
+        some = reduce(DataFrame.unionByName, [each[0], *(x.where(F.size(f"{found}.runs") > 0) for x in each[1:])])
+        merged = F.struct(F.max(f"{found}.n_words").alias("n_words"), F.flatten(F.collect_list(f"{found}.runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{found}.items")))).alias("items"))
+        met = rows.join(some.groupBy(row).agg(merged.alias(found)), row).drop(row)
+    span = free_name("span", met)
+    spanned = met.withColumn(span, F.when(F.size(f"{found}.runs") > 0, _spans("text", f"{found}.runs")))
+    none = F.array().cast(SPANS)
+    return spanned.select(*docs.columns, f"{found}.n_words", F.coalesce(f"{span}.n_hit", F.lit(0).cast("long")).alias("n_hit"), f"{found}.items", F.coalesce(f"{span}.spans", none).alias("spans"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,29 +5,33 @@ table of byte weights for each of its places), the maximum over places is pooled
 languages; a document's scores are the mean log-probabilities of all its windows.
 
 Training reads labelled rows of the training folds, TRAIN_ROWS at most, a few windows of each.
-Cases: null texts and those without a letter are ``und`` with score 0; without training rows all are ``und``; windows
-shorter than the length are padded; repeated rows get equal results; extra columns are not read.
+Cases: null texts and those without a letter (Unicode category L) are ``und`` with score 0; without training rows all
+are ``und``; windows shorter than the length are padded; of languages that tie the first in order wins; repeated rows
+get equal results, and an id that stands in several labelled rows trains with each of them; extra columns stay, but
+columns lang_pred and lang_score are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, sample_ids, table
+from .common import free_name, held_out, sample_rows, table
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 12
-#: Labelled rows that train the network, at most (those with the smallest hashes), and windows of each.
+#: Labelled rows that train the network, at most, and windows of each.
 TRAIN_ROWS, TRAIN_WINDOWS = 4_000, 3
 FOLDS = 3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Windows that a worker holds at once.
+HELD = 8192
 
 
 def windows(text: str | None) -> np.ndarray:
@@ -95,30 +99,50 @@ class ByteCNN:
                     q -= rate * (a / (1 - 0.9**t)) / (np.sqrt(c / (1 - 0.99**t)) + 1e-7)
         return self
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not LETTER.search(text):
-            return "und", 0.0
-        z = self.log_probs(windows(text)).mean(axis=0)
-        p = np.exp(z - z.max())
-        return self.classes[int(p.argmax())], float(p.max() / p.sum())
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and score of each text; the windows of many texts pass through the network together."""
+        held, sizes, counts = [], [], 0
+
+        def judge() -> Iterator[tuple[str, float]]:
+            total = np.zeros((len(sizes), len(self.classes)))
+            if held:
+                own = np.repeat(np.arange(len(sizes)), sizes)
+                np.add.at(total, own, self.log_probs(np.vstack(held)))
+            for z, n in zip(total, sizes, strict=True):
+                if not n:
+                    yield "und", 0.0
+                else:
+                    p = np.exp((z - z.max()) / n)
+                    yield self.classes[int(p.argmax())], float(p.max() / p.sum())
+
+        for text in texts:
+            rows = windows(text) if text and LETTER.search(text) else np.zeros((0, WINDOW), np.uint8)
+            sizes.append(len(rows))
+            if len(rows):
+                held.append(rows)
+            counts += len(rows)
+            if counts >= HELD:
+                yield from judge()
+                held, sizes, counts = [], [], 0
+        yield from judge()
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
-def _some_windows(ids: pd.Series, texts: pd.Series) -> pd.Series:
-    def some(key, text):
+def _some_windows(texts: pd.Series) -> pd.Series:
+    def some(text):
         rows = windows(text)
-        return [rows[i].tobytes() for i in sorted({int(key * 2654435761 + 97 * j) % len(rows) for j in range(TRAIN_WINDOWS)})]
+        return [rows[i].tobytes() for i in sorted({(len(rows) * j) // TRAIN_WINDOWS for j in range(TRAIN_WINDOWS)})]
 
-    return pd.Series([some(k, t) for k, t in zip(ids, texts, strict=True)])
+    return texts.map(some)
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCNN | None:
     """Network trained on docs(doc_id, text, lang) of the training folds; None without any."""
-    known = docs.select("doc_id", "lang").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"), FOLDS))
-    ids = sample_ids(known, train_rows, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "lang", _some_windows("doc_id", "text").alias("w")).orderBy("doc_id").toPandas()
+    known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"), FOLDS))
+    rows = sample_rows(known, train_rows, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "lang", _some_windows("text").alias("w")).toPandas()
     if rows.empty:
         return None
+    rows = rows.assign(first=[b"".join(w) for w in rows["w"]]).sort_values(["key", "lang", "first"])  # the same order for any partitioning
     classes = sorted(rows["lang"].unique())
     x = np.array([np.frombuffer(b, np.uint8) for w in rows["w"] for b in w])
     y = np.repeat(np.searchsorted(classes, rows["lang"].to_numpy()), rows["w"].map(len))
@@ -127,15 +151,17 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCNN | None:
 
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """docs with lang_pred and lang_score."""
+    docs = docs.drop("lang_pred", "lang_score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
+    found = free_name("lang", docs)
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+            yield pd.DataFrame(list(model.predict(texts)), columns=["lang_pred", "lang_score"])
 
-    return docs.withColumn("_lang", predict("text")).select(*docs.columns, "_lang.*")
+    return docs.withColumn(found, predict("text")).select(*docs.columns, f"{found}.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ share a variant; those that share a variant differ in two bits at most, so a buc
 linked to one another, and links to the least of them carry every component. Colliding pairs are verified by their bits.
 
 Cases: null and blank texts have fingerprint zero, linked like any other; texts under three words are one shingle;
-equal fingerprints, and so repeated rows, are one class; an empty table gives no rows; extra columns are not read.
+equal fingerprints, and so repeated rows, are one class; rows with a null id belong to the class of their fingerprint,
+which is null where no row with an id is in it; an empty table gives no rows; extra columns are read only if named.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, look_up, table
 from .components import components
 
 SHINGLE = 3
@@ -53,13 +54,13 @@ def near_links(prints: DataFrame) -> DataFrame:
     return verified.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id, links (other fingerprints linked to the document's class representative)."""
-    rows = cut(docs.select("doc_id", _fingerprints("text").alias("fp")))
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns keep, fingerprint (hex) and component_id (least id of the class) of each row."""
+    rows = cut(docs.select("doc_id", *keep, _fingerprints("text").alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
     linked = components(near_links(prints.where("node is not null")))
     classes = prints.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return look_up(rows, classes, "fp").select("doc_id", *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,13 @@ candidates. Candidates are extended to their whole width, hashed to 128 bits, an
 (document, position) is told to its document: the candidates that aren't first repeat an earlier window, and their
 words go. A document that copies an earlier one whole needs no hashes. Hashes are reduced before and during the shuffle, so a passage of any number of copies is one small row.
 
+The documents are numbered in the order of their ids, whatever the ids' type, and a place is one long number: the
+document's number and the position. A document has a number for every 2^UNIT_BITS words it may hold, so no text is too
+long and no id too large.
+
 Cases: null and blank texts have no words; texts under WINDOW words lose none; documents with a null id are left
 alone; rows that share an id are judged in that id's place, and a row repeated as a whole keeps what its first one
-keeps; extra columns stay as they are. Positions take PLACE_BITS bits, which bounds a text's words (2^24) and the
-ids (2^39).
+keeps; an empty table gives no rows; extra columns stay as they are, but n_words, n_removed and kept_text are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, free_name, look_up, table
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-PLACE_BITS = 24
+UNIT_BITS = 24
 #: Words that are hashed at once in a worker.
 CHUNK = 400_000
 _MASK = (1 << 64) - 1
@@ -61,8 +64,8 @@ def chunks(frame: pd.DataFrame) -> Iterator[tuple[list[tuple], np.ndarray]]:
     """(row, first word, number of words) of each row with a window, and the words' hashes, some rows at a time."""
     rows, words = [], []
     for row in frame.itertuples(index=False):
-        w = [] if row.is_copy is True else split(row.text)
-        if len(w) >= WINDOW and not pd.isna(row.doc_id):
+        w = [] if row.is_copy is True or pd.isna(row.base) else split(row.text)
+        if len(w) >= WINDOW:
             rows.append((row, len(words), len(w)))
             words += w
         if len(words) >= CHUNK:
@@ -83,7 +86,7 @@ def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, words in chunks(frame):
             h = rolling(words, ANCHOR, 0x100000001B3 | 1)
             places = [anchor_places(n) for _, _, n in rows]
-            at = np.concatenate([(int(r.doc_id) << PLACE_BITS) + p for (r, _, _), p in zip(rows, places, strict=True)])
+            at = np.concatenate([(int(r.base) << UNIT_BITS) + p for (r, _, _), p in zip(rows, places, strict=True)])
             own = np.concatenate([first + p for (_, first, _), p in zip(rows, places, strict=True)])
             yield pd.DataFrame({"h": h[own].view(np.int64), "at": at})
 
@@ -105,7 +108,7 @@ def candidate_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             places = [candidates(n, r.single) for r, _, n in rows]
             own = np.concatenate([first + p for (_, first, _), p in zip(rows, places, strict=True)])
             if len(own):
-                at = np.concatenate([(int(r.doc_id) << PLACE_BITS) + p for (r, _, _), p in zip(rows, places, strict=True)])
+                at = np.concatenate([(int(r.base) << UNIT_BITS) + p for (r, _, _), p in zip(rows, places, strict=True)])
                 yield pd.DataFrame({"h": rolling(words, WINDOW, 0x5851F42D4C957F2D)[own].view(np.int64), "g": rolling(words, WINDOW, 0xD1342543DE82EF95)[own].view(np.int64), "at": at})
 
 
@@ -127,16 +130,48 @@ def keep(text: str | None, is_copy: bool | None, single: np.ndarray | None, firs
     return (n, 0, text) if len(left) == n else (n, n - len(left), b" ".join([w[i] for i in left]).decode("utf-8", "surrogatepass"))
 
 
-def _by_doc(places: DataFrame, name: str) -> DataFrame:
-    """The places of each document as one array; a document has no more of them than words."""
-    doc, at = F.shiftright("at", PLACE_BITS).alias("doc_id"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    return places.select(doc, at.alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias(name))
-
-
 def copies(docs: DataFrame) -> DataFrame:
-    """Documents whose whole text stands in one of a smaller id, by MD5; their windows all start earlier."""
+    """(doc_id, n_copies): rows of each id whose whole text stands in a row of a smaller id, by MD5; all their windows
+    start earlier."""
     marks = docs.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
-    return marks.join(marks.groupBy("mark").agg(F.min("doc_id").alias("own")), "mark").where("doc_id > own").select("doc_id", F.lit(True).alias("is_copy")).distinct()
+    least = marks.groupBy("mark").agg(F.min("doc_id").alias("own"), F.count("*").alias("n")).where("n > 1").select("mark", "own")
+    return look_up(marks, least, "mark", "inner").where("doc_id > own").groupBy("doc_id").agg(F.count("*").alias("n_copies"))
+
+
+def number(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, units, is_copy) of each id, numbered in order: base is its first number, units how many it has.
+
+    Ids are dealt out by ranges; a range is numbered in its task, behind the sum of the ranges before it.
+    """
+    spark = docs.sparkSession
+    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"), F.count("*").alias("n_rows"))
+    facts = sizes.join(copies(docs), "doc_id", "left").select("doc_id", (1 + F.floor(F.col("size") / (2 << UNIT_BITS))).cast("long").alias("units"), F.coalesce(F.col("n_copies") == F.col("n_rows"), F.lit(False)).alias("is_copy"))
+    ranged = cut(facts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in ranged.groupBy("part").agg(F.sum("units").alias("n")).orderBy("part").collect():  # a row for each range
+        offsets.append((r["part"], before))
+        before += r["n"]
+
+    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = 0
+        for b in batches:
+            ends = done + b["units"].cumsum()
+            yield b.assign(base=ends - b["units"])
+            done = int(ends.iloc[-1]) if len(b) else done
+
+    local = ranged.sortWithinPartitions("doc_id").mapInPandas(running, ranged.withColumn("base", F.lit(0).cast("long")).schema)
+    starts = F.broadcast(spark.createDataFrame(offsets, "part int, start long"))
+    return cut(local.join(starts, "part").select("doc_id", (F.col("base") + F.col("start")).alias("base"), "units", "is_copy"))
+
+
+def _by_doc(places: DataFrame, numbers: DataFrame, extra: DataFrame | None, name: str) -> DataFrame:
+    """The places of each document as one array; a document has no more of them than words."""
+    unit = F.shiftright("at", UNIT_BITS).alias("unit")
+    if extra is None:
+        own = places.select(unit.alias("base"), F.col("at").bitwiseAND(F.lit((1 << UNIT_BITS) - 1)).cast("int").alias("p"))
+    else:
+        own = places.select("at", unit).join(extra, "unit", "left").select("at", F.coalesce("base", "unit").alias("base")).select("base", (F.col("at") - F.shiftleft("base", UNIT_BITS)).cast("int").alias("p"))
+    return own.groupBy("base").agg(F.collect_list("p").alias(name)).join(numbers.select("base", "doc_id"), "base").select("doc_id", name)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -144,19 +179,27 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     All passes read the documents from one shuffle by id, so that places meet their texts without another.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text", "is_copy", "single", "first")
-    marked = docs.join(cut(copies(docs)), "doc_id", "left")
+    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    others = free_name("others", docs)
+    slim = docs.select("doc_id", "text", F.struct(*rest).alias(others)) if rest else docs.select("doc_id", "text")
+    numbers = number(slim)
+    longer = numbers.where("units > 1")
+    extra = None if longer.isEmpty() else longer.select("base", F.explode(F.sequence(F.col("base") + 1, F.col("base") + F.col("units") - 1)).alias("unit"))
+    marked = slim.join(numbers.select("doc_id", "base", "is_copy"), "doc_id", "left")
     once = marked.mapInPandas(anchors, "h long, at long").groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("n")).where("n = 1")
-    with_single = marked.join(_by_doc(once, "single"), "doc_id", "left")
+    with_single = marked.join(_by_doc(once, numbers, extra, "single"), "doc_id", "left")
     first = with_single.mapInPandas(candidate_windows, "h long, g long, at long").groupBy("h", "g").agg(F.min("at").alias("at"))
-    found = with_single.join(_by_doc(first, "first"), "doc_id", "left")
+    found = with_single.join(_by_doc(first, numbers, extra, "first"), "doc_id", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
-    def apply(ids: pd.Series, texts: pd.Series, copy: pd.Series, single: pd.Series, first: pd.Series) -> pd.DataFrame:
-        rows = [(len(split(t)), 0, t) if pd.isna(i) else keep(t, c, s, f) for i, t, c, s, f in zip(ids, texts, copy, single, first, strict=True)]
+    def apply(base: pd.Series, texts: pd.Series, copy: pd.Series, single: pd.Series, first: pd.Series) -> pd.DataFrame:
+        rows = [(len(split(t)), 0, t) if pd.isna(i) else keep(t, c, s, f) for i, t, c, s, f in zip(base, texts, copy, single, first, strict=True)]
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
-    return found.select(*docs.columns, apply("doc_id", "text", "is_copy", "single", "first").alias("_kept")).select(*docs.columns, "_kept.*")
+    kept = free_name("kept", docs)
+    out = found.select("doc_id", "text", *([others] if rest else []), apply("base", "text", "is_copy", "single", "first").alias(kept))
+    return out.select(*(c if c in ("doc_id", "text") else F.col(f"{others}.`{c}`") for c in columns), f"{kept}.*")
 
 
 def _digest(texts: pd.Series) -> pd.Series:

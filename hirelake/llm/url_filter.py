@@ -13,11 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sample_ids, table
+from .common import cut, sample_rows, table
 
 #: (verdict, host and path) of each rule.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Labelled URLs that train the trees, at most; those with the smallest hashes.
+#: Labelled URLs that train the trees, at most.
 TRAIN_ROWS = 100_000
 #: Rates of a suffix are drawn towards the overall rate by so many URLs.
 PRIOR = 20.0
@@ -89,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_ro
     if classes[0] is None or classes[0] == classes[1]:
         return rows.select(*plain, F.coalesce("says", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     to_vector = VectorAssembler(inputCols=FEATURES, outputCol="vector")
-    train = cut(to_vector.transform(with_suffix(sample_ids(known, train_rows, "url", "page_id"), rates)).select("vector", "label"))
+    train = cut(to_vector.transform(with_suffix(sample_rows(known, train_rows, "url", "page_id"), rates)).select("vector", "label"))
     trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, minInstancesPerNode=5, seed=seed).fit(train)
     scored = trees.transform(to_vector.transform(with_suffix(rows, rates)))
     method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
