@@ -1,12 +1,19 @@
 """Training-corpus pipeline over documents: five operators in turn, each on what the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns the next docs: the columns of documents, but for the last stage.
-
-1. toxicity: documents whose toxicity score reaches 0.7 go.
-2. near_dedup: of each group of near copies the document of the smallest id stays; rows repeated as a whole are one.
-3. substring_dedup: words of passages that stand earlier are cut from the text; n_chars follows.
-4. decontamination: documents that hold a window of a benchmark item go.
-5. byte_bpe: token ids of each text, and the text decoded from them.
+Extra columns of documents stay as they are in the first four stages, whatever their names; an empty table stays empty;
+texts are read whole, however long.
+
+1. toxicity: documents whose toxicity score reaches 0.7 go. Null and empty texts have the base score and stay; repeated
+   rows are judged alike; without labels of both classes all stay.
+2. near_dedup: of each group of near copies the document of the smallest id stays. Rows of one id are judged by their
+   own texts; rows repeated as a whole are one; null and blank texts are copies of one another; rows without an id go
+   where a document with an id is alike, and stay otherwise.
+3. substring_dedup: words of passages that stand earlier are cut from the text; n_chars follows where a text changed.
+   Null and short texts and rows without an id stay as they are.
+4. decontamination: documents that hold a window of a benchmark item go. Null texts and those without words stay.
+5. byte_bpe: doc_id, n_tokens, token ids of each text, and the text decoded from them; null and empty texts give no ids
+   and an empty text.
 """
 
 from __future__ import annotations
@@ -15,27 +22,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxicity
-from hirelake.llm.common import cut, table
+from hirelake.llm.common import free_name, stored, table
+
+
+def _only(docs: DataFrame) -> tuple[DataFrame, str]:
+    """doc_id and text, and all columns as one struct, so that no operator's column meets one of theirs."""
+    name = free_name("row", docs)
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias(name)), name
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where(F.col("toxic_score") < toxicity.PREDICT_AT).select(docs.columns)
+    slim, row = _only(docs)
+    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(slim, model).where(F.col("toxic_score") < toxicity.PREDICT_AT).select(f"{row}.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).distinct()
+    mark = free_name("mark", docs)
+    marked = docs.withColumn(mark, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    found = simhash.near_duplicates(marked.select("doc_id", "text", mark), keep=(mark,))
+    goes = F.coalesce(F.col("component_id") < F.col("doc_id"), F.col("component_id").isNotNull() & F.col("doc_id").isNull())
+    told = found.groupBy("doc_id", mark).agg(F.max(goes).alias("goes"), F.count("*").alias("n")).where("goes or n > 1")
+    own = told.select(F.col("doc_id").alias("own_id"), F.col(mark).alias("own_mark"), "goes")
+    of = lambda rows: marked["doc_id"].eqNullSafe(rows["own_id"]) & (marked[mark] == rows["own_mark"])
+    single = marked.join(own, of(own), "left_anti")
+    repeats = own.where("not goes")
+    return single.unionByName(marked.join(repeats, of(repeats), "left_semi").dropDuplicates()).select(docs.columns)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_dedup.deduplicate(docs)
-    return found.withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    slim, row = _only(docs)
+    found, changed = substring_dedup.deduplicate(slim), F.col("n_removed") > 0
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"{row}.n_chars"))
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"{row}.`{c}`") for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+    slim, row = _only(docs)
+    return decontaminate.find_leaks(slim, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(f"{row}.*")
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +77,13 @@ STAGES = [
     ("byte-level BPE", byte_bpe_stage),
 ]
 
-#: Trained classifiers, hashes and merges have no SQL form; the tests hold each stage against brute force.
+#: Trained classifiers, hashes and merges have no SQL form; tests/llm/test_pipeline.py holds stages 2 to 5 and run()
+#: against brute force, and stage 1 against labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
