@@ -1,7 +1,7 @@
 """Scoring by a log-bilinear language model trained with noise-contrastive estimation, in numpy.
 
 Each token that occurs LEAST_COUNT times in the training documents has vectors of its own, so the model grows with the
-corpus; the FEWEST_WORDS most frequent tokens have them at any size, and the others are one class. Spark counts the
+corpus; up to FEWEST_WORDS of the most frequent tokens have them at any size, and the others are one class. Spark counts the
 pairs of neighbouring model tokens of all training documents and keeps them as a table. In each round the tasks run
 over minibatches of their part of the table, with sampled noise, and what they changed is averaged. Each
 context is normalised over all targets, in blocks. A token is scored by its predecessor; a rarer token's probability
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, table
+from .common import batch_rows, cut, held_out, levels, table
 
 FOLDS = 5
 #: Tokens of this count have vectors of their own, and the most frequent ones whatever their count; besides, there are
@@ -39,6 +39,8 @@ NOISE = 10
 ROUNDS, BATCH, SHARED, LEAST_VISITS, MOST_PASSES, BLOCK, CONTEXTS, RATE = 4, 1024, 10 * NOISE, 2_000_000, 50, 8192, 256, 0.1
 #: Tokens whose counts are broadcast, at most, besides the model's.
 FREQUENT = 100_000
+#: Rows of a batch in a worker.
+ROWS = 1000
 #: The end of a text among the tokens; no word holds a space.
 END = " "
 
@@ -202,18 +204,37 @@ def train(pairs: DataFrame, contexts: np.ndarray, targets: np.ndarray) -> tuple[
     return model.weights, logs.astype(np.float32)
 
 
+def _least(found: list[tuple[int, int, int]], size: int, enough: int) -> int:
+    """Least count of the tokens that are among the size most frequent (by whole levels) or occur enough times."""
+    least, taken = 1 << 62, 0
+    for _, n, lowest in found:
+        taken += n
+        if taken > size and lowest < enough:
+            break
+        least = lowest
+    return least
+
+
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text) by counts of training(text)."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text) by counts of training(text).
+
+    The passes over the texts run here, in batches of ROWS rows, and the documents' sums are kept in the shared folder.
+    """
+    with batch_rows(docs.sparkSession, ROWS):
+        return cut(_score(docs, training))
+
+
+def _score(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = cut(count_tokens(training))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = counts.groupBy("c").agg(F.count("*").alias("tokens")).toPandas().sort_values("c", ascending=False)
-    often = often[(often["tokens"].cumsum() <= FREQUENT) | (often["c"] >= LEAST_COUNT)]
-    ordered = counts.orderBy(F.desc("c"), "token").limit(FEWEST_WORDS)
-    top = pd.concat([ordered.toPandas(), counts.where(F.col("c") >= int(often["c"].min()) if len(often) else F.lit(False)).toPandas()])
-    top = top.drop_duplicates("token").sort_values(["c", "token"], ascending=[False, True])
+    found = levels(counts)  # a few thousand numbers, whatever the input
+    own = _least(found, FEWEST_WORDS, LEAST_COUNT)
+    wanted = (F.col("c") >= min(own, _least(found, FREQUENT, LEAST_COUNT))) | (F.col("token") == END)
+    top = counts.where(wanted).toPandas().sort_values(["c", "token"], ascending=[False, True])
     frequent = dict(zip(top["token"], top["c"].tolist(), strict=True))
-    vocabulary = top["token"].tolist()[: max(int((top["c"] >= LEAST_COUNT).sum()), FEWEST_WORDS)]
+    vocabulary = top.loc[(top["c"] >= own) | (top["token"] == END), "token"].tolist()
+    del top
     tail_n = n - sum(frequent[w] for w in vocabulary)
     targets = np.array([0, tail_n] + [frequent[w] for w in vocabulary], np.float64)
     contexts = targets.copy()  # any token but a text's end is followed by one
@@ -229,7 +250,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         """A row of sums for each document, and a row for each of its rarer tokens."""
         count, place, weights, norm = shared.value
         logs = {w: np.log10(c + 0.5) for w, c in count.items()}
-        for b in (b[k : k + BATCH] for b in batches for k in range(0, len(b), BATCH)):
+        for b in batches:
             out = []
             for doc, mark, text in zip(b["doc_id"], b["mark"], b["text"], strict=True):
                 w = tokens(text)
@@ -248,11 +269,11 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 unknown = int((ids == 1).sum())
                 out.append((doc, mark, f"\t{doc}\t{mark}", 0, 1, len(w), known, base - len(w) * base_norm, model + tail - unknown * tail_norm))
                 out += [(doc, mark, x, k, 0, 0, 0, 0.0, 0.0) for x, k in rare.items()]
-            frame = pd.DataFrame(out, columns=["doc_id", "mark", "token", "k", "row", "n_tokens", "known", "base", "model"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "mark", "token", "k", "row", "n_tokens", "known", "base", "model"]).astype({"doc_id": id_kind})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInPandas(partial, "doc_id long, mark long, token string, k long, row long, n_tokens long, known long, base double, model double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_kind = "Int64" if kind in ("bigint", "int", "smallint", "tinyint") else "object"
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInPandas(partial, f"doc_id {kind}, mark long, token string, k long, row long, n_tokens long, known long, base double, model double")
     met = rows.join(counts, "token", "left")
     c = F.coalesce("c", F.lit(0))
     share = F.col("k") * F.log10(c + 0.5)
