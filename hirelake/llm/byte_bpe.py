@@ -223,6 +223,7 @@ class Encoder:
                     starts = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(of_byte[data], pa.int32()))
                     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(bounds), pa.array(codes)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), starts)], [*kept, "_codes", "_starts"])
+                pa.default_memory_pool().release_unused()
 
         def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, lengths, flat = shared.value

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, sample_rows, table
+from .common import batch_rows, cut, held_out, sample_rows, table
 from .decontaminate import normal_words
 
 #: Labelled rows that train the models, at most.
@@ -35,8 +35,8 @@ TRAIN_ROWS = 20_000
 LEXICON_SIZE, LEAST_EVIDENCE = 300, 15.0
 #: Bytes of the word beginnings that may enter the lexicon.
 STEMS = (5, 6, 7, 8)
-#: Rows of a frame that a worker returns.
-FRAME = 20_000
+#: Rows of a frame that a worker returns; rows of a batch that trains.
+FRAME, ROWS = 20_000, 1000
 FOLDS = 3
 PREDICT_AT = 0.7
 #: Rounds of expectation maximisation, and the one before which the dependences are chosen.
@@ -171,16 +171,24 @@ def lexicon_of(rows: DataFrame, n_toxic: int, n_rows: int) -> list[str]:
     """Entries that the labelled rows (text, toxic) single out, LEXICON_SIZE at most, and the fixed ones."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, toxic = Counter(), Counter()
+
+        def told() -> Iterator[pd.DataFrame]:
+            names = list(every)
+            for part in (names[k : k + FRAME] for k in range(0, len(names), FRAME)):
+                yield pd.DataFrame({"unit": [w.decode("latin-1") for w in part], "a": [toxic[w] for w in part], "n": [every[w] for w in part]})
+            every.clear()
+            toxic.clear()
+
         for b in batches:
-            every, toxic = Counter(), Counter()
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 own = units(text)
                 every.update(own)
                 if y:
                     toxic.update(own)
-            names = list(every)
-            for part in (names[k : k + FRAME] for k in range(0, len(names), FRAME)):
-                yield pd.DataFrame({"unit": [w.decode("latin-1") for w in part], "a": [toxic[w] for w in part], "n": [every[w] for w in part]})
+                if len(every) > 5 * FRAME:
+                    yield from told()
+        yield from told()
 
     heard = rows.select("text", "toxic").mapInPandas(count, "unit string, a long, n long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where("n >= 3")
     rate = n_toxic / n_rows
@@ -198,6 +206,11 @@ def lexicon_of(rows: DataFrame, n_toxic: int, n_rows: int) -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, float] | None:
     """Lexicon, weights and bias; None without training labels of both classes."""
+    with batch_rows(docs.sparkSession, ROWS):
+        return _train(docs, labels, train_rows)
+
+
+def _train(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple[list[str], np.ndarray, float] | None:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"), FOLDS))
     ids = cut(sample_rows(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), train_rows, "doc_id"))
     total = ids.agg(F.sum("toxic"), F.count("*")).first()
