@@ -184,7 +184,9 @@ class Encoder:
         """
         known = self.frequent(docs, limit).combine_chunks()
         words, ids = known.column("piece").combine_chunks(), known.column("ids").combine_chunks()
-        shared = self.spark.sparkContext.broadcast((words, pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy().astype(np.int32)))
+        names = self.spark.sparkContext.broadcast(words)
+        shared = self.spark.sparkContext.broadcast((pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy().astype(np.int32)))
+        del known, words, ids
         of_byte, touching, kept = self.of_byte, self.touching, [c for c in docs.columns if c != "ids"]
 
         def cut_long(values: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -203,7 +205,7 @@ class Encoder:
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """pieces to codes: the place among the frequent ones, or -1 - k for the row's k-th other distinct piece."""
-            words = shared.value[0]
+            words = names.value
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
@@ -226,7 +228,7 @@ class Encoder:
                 pa.default_memory_pool().release_unused()
 
         def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, lengths, flat = shared.value
+            lengths, flat = shared.value
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
