@@ -18,11 +18,14 @@ texts are read whole, however long.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxicity
-from hirelake.llm.common import free_name, stored, table
+from hirelake.llm.common import batch_rows, free_name, stored, table
 
 
 def _only(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -31,12 +34,30 @@ def _only(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.select("doc_id", "text", F.struct(*docs.columns).alias(name)), name
 
 
+#: Rows of a batch in a Python worker: whole texts, of which some are very long.
+ROWS = 500
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def kept(stage: Stage) -> Stage:
+    """The stage with its result written as Parquet in the shared folder and read again, in batches of ROWS rows."""
+
+    @wraps(stage)
+    def run_and_keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with batch_rows(spark, ROWS):
+            return stored(stage(spark, docs, sf_dir))
+
+    return run_and_keep
+
+
+@kept
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slim, row = _only(docs)
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(slim, model).where(F.col("toxic_score") < toxicity.PREDICT_AT).select(f"{row}.*")
 
 
+@kept
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = free_name("mark", docs)
     marked = docs.withColumn(mark, F.md5(F.coalesce(F.col("text"), F.lit(""))))
@@ -50,6 +71,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return single.unionByName(marked.join(repeats, of(repeats), "left_semi").dropDuplicates()).select(docs.columns)
 
 
+@kept
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slim, row = _only(docs)
     found, changed = substring_dedup.deduplicate(slim), F.col("n_removed") > 0
@@ -59,12 +81,14 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return found.select(*(new[c].alias(c) if c in new else F.col(f"{row}.`{c}`") for c in docs.columns))
 
 
+@kept
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slim, row = _only(docs)
     return decontaminate.find_leaks(slim, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(f"{row}.*")
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The operator keeps its result as Parquet itself."""
     coded = byte_bpe.round_trip(docs.select("doc_id", "text"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("decoded"))
 
@@ -85,5 +109,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stage(spark, docs, sf_dir)
     return STAGES[-1][1](spark, docs, sf_dir)
