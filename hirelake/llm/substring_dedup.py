@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, look_up, table
+from .common import cut, look_up, table
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -130,12 +130,11 @@ def keep(text: str | None, is_copy: bool | None, single: np.ndarray | None, firs
     return (n, 0, text) if len(left) == n else (n, n - len(left), b" ".join([w[i] for i in left]).decode("utf-8", "surrogatepass"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_copies): rows of each id whose whole text stands in a row of a smaller id, by MD5; all their windows
-    start earlier."""
-    marks = docs.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
+def copies(marks: DataFrame) -> DataFrame:
+    """(doc_id, n_copies) of marks(doc_id, mark): rows of each id whose whole text stands in a row of a smaller id; all
+    their windows start earlier."""
     least = marks.groupBy("mark").agg(F.min("doc_id").alias("own"), F.count("*").alias("n")).where("n > 1").select("mark", "own")
-    return look_up(marks, least, "mark", "inner").where("doc_id > own").groupBy("doc_id").agg(F.count("*").alias("n_copies"))
+    return look_up(marks.select("doc_id", "mark"), least, "mark", "inner").where("doc_id > own").groupBy("doc_id").agg(F.count("*").alias("n_copies"))
 
 
 def number(docs: DataFrame) -> DataFrame:
@@ -144,8 +143,11 @@ def number(docs: DataFrame) -> DataFrame:
     Ids are dealt out by ranges; a range is numbered in its task, behind the sum of the ranges before it.
     """
     spark = docs.sparkSession
-    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"), F.count("*").alias("n_rows"))
-    facts = sizes.join(copies(docs), "doc_id", "left").select("doc_id", (1 + F.floor(F.col("size") / (2 << UNIT_BITS))).cast("long").alias("units"), F.coalesce(F.col("n_copies") == F.col("n_rows"), F.lit(False)).alias("is_copy"))
+    text = F.coalesce("text", F.lit(""))
+    marks = cut(docs.where("doc_id is not null").select("doc_id", F.md5(text).alias("mark"), F.octet_length(text).alias("size")))
+    sizes = marks.groupBy("doc_id").agg(F.max("size").alias("size"), F.count("*").alias("n_rows"))
+    units = (1 + F.floor(F.col("size") / (2 << UNIT_BITS))).cast("long")
+    facts = sizes.join(copies(marks), "doc_id", "left").select("doc_id", units.alias("units"), F.coalesce(F.col("n_copies") == F.col("n_rows"), F.lit(False)).alias("is_copy"))
     ranged = cut(facts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     before, offsets = 0, []
     for r in ranged.groupBy("part").agg(F.sum("units").alias("n")).orderBy("part").collect():  # a row for each range
@@ -180,9 +182,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     All passes read the documents from one shuffle by id, so that places meet their texts without another.
     """
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    rest = [c for c in columns if c not in ("doc_id", "text")]
-    others = free_name("others", docs)
-    slim = docs.select("doc_id", "text", F.struct(*rest).alias(others)) if rest else docs.select("doc_id", "text")
+    rest = {c: f"other{i}" for i, c in enumerate(columns) if c not in ("doc_id", "text")}  # no names of ours
+    slim = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(name) for c, name in rest.items()))
     numbers = number(slim)
     longer = numbers.where("units > 1")
     extra = None if longer.isEmpty() else longer.select("base", F.explode(F.sequence(F.col("base") + 1, F.col("base") + F.col("units") - 1)).alias("unit"))
@@ -197,9 +198,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         rows = [(len(split(t)), 0, t) if pd.isna(i) else keep(t, c, s, f) for i, t, c, s, f in zip(base, texts, copy, single, first, strict=True)]
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
-    kept = free_name("kept", docs)
-    out = found.select("doc_id", "text", *([others] if rest else []), apply("base", "text", "is_copy", "single", "first").alias(kept))
-    return out.select(*(c if c in ("doc_id", "text") else F.col(f"{others}.`{c}`") for c in columns), f"{kept}.*")
+    out = found.select("doc_id", "text", *rest.values(), apply("base", "text", "is_copy", "single", "first").alias("kept"))
+    return out.select(*(F.col(rest.get(c, c)).alias(c) for c in columns), "kept.*")
 
 
 def _digest(texts: pd.Series) -> pd.Series:
