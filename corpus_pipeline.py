@@ -28,10 +28,15 @@ from hirelake.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxi
 from hirelake.llm.common import batch_rows, free_name, stored, table
 
 
-def _only(docs: DataFrame) -> tuple[DataFrame, str]:
-    """doc_id and text, and all columns as one struct, so that no operator's column meets one of theirs."""
-    name = free_name("row", docs)
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias(name)), name
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but doc_id and text renamed, so that no operator's column meets one of theirs; and the new
+    name of each column."""
+    names = {c: c if c in ("doc_id", "text") else f"other{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*(F.col(own).alias(c) for c, own in names.items()))
 
 
 #: Rows of a batch in a Python worker: whole texts, of which some are very long.
@@ -52,9 +57,9 @@ def kept(stage: Stage) -> Stage:
 
 @kept
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    slim, row = _only(docs)
-    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(slim, model).where(F.col("toxic_score") < toxicity.PREDICT_AT).select(f"{row}.*")
+    plain, names = _plain(docs)
+    model = toxicity.train(plain, table(spark, sf_dir, "labels"))
+    return _back(toxicity.score_toxicity(plain, model).where(F.col("toxic_score") < toxicity.PREDICT_AT), names)
 
 
 @kept
@@ -73,18 +78,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @kept
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    slim, row = _only(docs)
-    found, changed = substring_dedup.deduplicate(slim), F.col("n_removed") > 0
-    new = {"text": F.col("kept_text")}
+    plain, names = _plain(docs)
+    found = substring_dedup.deduplicate(plain)
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"{row}.n_chars"))
-    return found.select(*(new[c].alias(c) if c in new else F.col(f"{row}.`{c}`") for c in docs.columns))
+        kind, chars = docs.schema["n_chars"].dataType, names["n_chars"]
+        found = found.withColumn(chars, F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(kind)).otherwise(F.col(chars)))
+    return _back(found.withColumn("text", F.col("kept_text")), names)
 
 
 @kept
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    slim, row = _only(docs)
-    return decontaminate.find_leaks(slim, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(f"{row}.*")
+    plain, names = _plain(docs)
+    return _back(decontaminate.find_leaks(plain, table(spark, sf_dir, "benchmark")).where("n_hit = 0"), names)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
