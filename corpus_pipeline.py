@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxicity
-from hirelake.llm.common import batch_rows, free_name, stored, table
+from hirelake.llm.common import free_name, stored, table
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -39,30 +39,35 @@ def _back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     return docs.select(*(F.col(own).alias(c) for c, own in names.items()))
 
 
-#: Rows of a batch in a Python worker: whole texts, of which some are very long.
+#: Rows of an Arrow batch, at most: whole texts, of which some are very long.
 ROWS = 500
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def kept(stage: Stage) -> Stage:
-    """The stage with its result written as Parquet in the shared folder and read again, in batches of ROWS rows."""
+def bounded(stage: Stage) -> Stage:
+    """The stage in a session whose Arrow batches have ROWS rows at most.
+
+    The pipeline owns its session: a stage's result is lazy, so the setting has to hold when it is read, and stays.
+    """
 
     @wraps(stage)
-    def run_and_keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with batch_rows(spark, ROWS):
-            return stored(stage(spark, docs, sf_dir))
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= ROWS:
+            spark.conf.set(name, str(ROWS))
+        return stage(spark, docs, sf_dir)
 
-    return run_and_keep
+    return run_bounded
 
 
-@kept
+@bounded
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, names = _plain(docs)
     model = toxicity.train(plain, table(spark, sf_dir, "labels"))
     return _back(toxicity.score_toxicity(plain, model).where(F.col("toxic_score") < toxicity.PREDICT_AT), names)
 
 
-@kept
+@bounded
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = free_name("mark", docs)
     marked = docs.withColumn(mark, F.md5(F.coalesce(F.col("text"), F.lit(""))))
@@ -76,7 +81,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return single.unionByName(marked.join(repeats, of(repeats), "left_semi").dropDuplicates()).select(docs.columns)
 
 
-@kept
+@bounded
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, names = _plain(docs)
     found = substring_dedup.deduplicate(plain)
@@ -86,7 +91,7 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _back(found.withColumn("text", F.col("kept_text")), names)
 
 
-@kept
+@bounded
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, names = _plain(docs)
     return _back(decontaminate.find_leaks(plain, table(spark, sf_dir, "benchmark")).where("n_hit = 0"), names)
@@ -114,5 +119,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
