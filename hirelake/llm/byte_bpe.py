@@ -16,6 +16,7 @@ import base64
 import hashlib
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,9 +82,9 @@ def pair_table(tokens: list[bytes]) -> tuple[list[int], list[int]]:
     return shifts, slots
 
 
-def numbers(values: list[int], kind: str) -> Column:
-    """Array literal; the split and cast of one string fold to it."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def numbers(values: str, kind: str) -> Column:
+    """Array literal of numbers joined by commas; the split and cast of one string fold to it."""
+    return F.split(F.lit(values), ",").cast(f"array<{kind}>")
 
 
 def _let(value: Column, use) -> Column:
@@ -144,11 +145,20 @@ def _ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+@lru_cache(maxsize=1)
+def tables(path: str) -> tuple[list[bytes], str, str]:
+    """Token bytes by rank, and the pair table's shifts and slots as text; kept, since building them takes the driver's memory."""
+    tokens = read_ranks(path)
+    shifts, slots = pair_table(tokens)
+    return tokens, ",".join(map(str, shifts)), ",".join(map(str, slots))
+
+
 class Encoder:
+    """Encoder and decoder by the rank file at path. close() frees what decode and encode have broadcast."""
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.tokens = read_ranks(path)
-        shifts, slots = pair_table(self.tokens)
+        self.spark, self.shared = spark, []
+        self.tokens, shifts, slots = tables(path)
         self.shifts, self.slots = numbers(shifts, "int"), numbers(slots, "bigint")
         rank = {t: i for i, t in enumerate(self.tokens)}
         self.of_byte = np.array([rank[bytes([b])] for b in range(256)], np.int32)
@@ -157,6 +167,15 @@ class Encoder:
             b = np.frombuffer(token, np.uint8)
             self.touching[b[:-1], b[1:]] = True
 
+    def broadcast(self, value):
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def close(self) -> None:
+        while self.shared:
+            self.shared.pop().destroy()
+        pa.default_memory_pool().release_unused()
+
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))
 
@@ -184,8 +203,8 @@ class Encoder:
         """
         known = self.frequent(docs, limit).combine_chunks()
         words, ids = known.column("piece").combine_chunks(), known.column("ids").combine_chunks()
-        names = self.spark.sparkContext.broadcast(words)
-        shared = self.spark.sparkContext.broadcast((pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy().astype(np.int32)))
+        names = self.broadcast(words)
+        shared = self.broadcast((pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy().astype(np.int32)))
         del known, words, ids
         of_byte, touching, kept = self.of_byte, self.touching, [c for c in docs.columns if c != "ids"]
 
@@ -257,7 +276,7 @@ class Encoder:
 
     def decoder(self, kept: list[str]):
         """Function that adds the column decoded to batches with the columns kept."""
-        shared = self.spark.sparkContext.broadcast((np.frombuffer(b"".join(self.tokens), np.uint8), np.array([len(t) for t in self.tokens], np.int64)))
+        shared = self.broadcast((np.frombuffer(b"".join(self.tokens), np.uint8), np.array([len(t) for t in self.tokens], np.int64)))
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, lengths = shared.value
@@ -295,7 +314,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     encoder = Encoder(docs.sparkSession, path or public_tokenizers.path(RANK_FILE))
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    return encoder.encode(docs.select(*kept), then=encoder.decoder([*kept, "ids"]), schema=schema)
+    try:
+        return encoder.encode(docs.select(*kept), then=encoder.decoder([*kept, "ids"]), schema=schema)
+    finally:
+        encoder.close()  # the result is stored
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,4 +325,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = Encoder(spark, public_tokenizers.path(RANK_FILE))
     decode = encoder.decoder(["doc_id", "ids"])
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return encoder.encode(docs, then=lambda batches: digests(decode(batches)), schema=schema)
+    try:
+        return encoder.encode(docs, then=lambda batches: digests(decode(batches)), schema=schema)
+    finally:
+        encoder.close()
