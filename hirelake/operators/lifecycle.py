@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scoring
+
 #: Statuses that a user may set.
 USER_STATUSES = "new applied phone_screen interview_1 interview_2 interview_3 offer rejected withdrawn".split()
 HARD = "[Hard filter] "
@@ -39,12 +41,14 @@ def record_verdicts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def apply_user_actions(verdicts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Verdicts after a batch of actions (event_id, ts, job_key, action, value), with notes and touched.
+    """Verdicts after a batch of actions (profile_id, job_key, event_id, ts, action, value), with notes and touched.
 
     status sets a valid status and the stamp, save toggles, hide hides and stamps, promote shows and clears the stamp,
     notes overwrite. Each field depends on its last action alone, so the batch pre-aggregates before the shuffle.
     touched: an action fell on a row that was or becomes new, whose profile then needs a rebalance.
+    An action is one profile's; only a log without profile_id speaks of a job for all of them.
     """
+    keys = [k for k in ("profile_id", "job_key") if k in actions.columns]
     done = F.col("action")
     valid = actions.where((done != "status") | F.col("value").isin(USER_STATUSES))
     at = F.struct("ts", "event_id")
@@ -52,7 +56,7 @@ def apply_user_actions(verdicts: DataFrame, actions: DataFrame) -> DataFrame:
     def last(value: Column, *kinds: str) -> Column:
         return F.max(F.when(done.isin(*kinds), F.struct(at.alias("at"), value.alias("v"))))["v"]
 
-    per_job = valid.groupBy("job_key").agg(
+    per_job = valid.groupBy(*keys).agg(
         last(F.col("value"), "status").alias("_status"),
         last(F.when(done == "hide", True).otherwise(False), "hide", "promote").alias("_hidden"),
         last(F.when(done != "promote", F.to_date("ts")), "status", "hide", "promote").alias("_stamp"),
@@ -62,18 +66,65 @@ def apply_user_actions(verdicts: DataFrame, actions: DataFrame) -> DataFrame:
         F.count_if(done != "notes").alias("_moves"),
     )
     status = F.coalesce("_status", "status")
-    return verdicts.join(per_job, "job_key", "left").select(
+    notes = F.coalesce("_notes", "notes") if "notes" in verdicts.columns else F.col("_notes")
+    return verdicts.join(per_job, keys, "left").select(
         "profile_id",
         "job_key",
         status.alias("status"),
         F.coalesce("_hidden", "hidden").alias("hidden"),
         (F.coalesce("saved", F.lit(False)).cast("int") + F.coalesce("_saves", F.lit(0)) % 2 == 1).alias("saved"),
         F.when(F.col("_stamps") > 0, F.col("_stamp")).otherwise(F.col("status_updated")).alias("status_updated"),
-        F.col("_notes").alias("notes"),
+        notes.alias("notes"),
         ((F.coalesce("_moves", F.lit(0)) > 0) & ((F.col("status") == "new") | (status == "new"))).alias("touched"),
     )
 
 
+def after_actions(verdicts: DataFrame, actions: DataFrame, top_n: int, least: float) -> DataFrame:
+    """profile_id, job_key, status, hidden, saved, status_updated, notes after a batch of actions and, for each profile
+    that it touched, one rebalance of what is shown; verdicts also hold scores and notes of the match."""
+    key = ["profile_id", "job_key"]
+    folded = apply_user_actions(verdicts, actions)
+    touched = folded.where("touched").select("profile_id").distinct()
+    state = folded.join(verdicts.select(*key, "match_notes", "manager_score", "candidate_score", "match_score"), key)
+    shown = scoring.rebalance_visible(state.join(touched, "profile_id", "left_semi"), top_n, least)
+    moved = shown.select(*key, F.col("hidden").alias("_hidden"))
+    out = folded.join(moved, key, "left")
+    stamp = F.when(F.coalesce("_hidden", F.lit(False)), F.lit(None)).otherwise(F.col("status_updated"))
+    return out.select(*key, "status", F.coalesce("_hidden", "hidden").alias("hidden"), "saved", stamp.alias("status_updated"), "notes")
+
+
+#: Profile fields that hold whole numbers, and truth values; texts that stand for yes.
+NUMBER_FIELDS, TRUTH_FIELDS, YES = ["salary_min", "salary_max", "years_experience_total", "years_experience_primary"], ["has_clearance"], ["true", "True", "yes", "1"]
+
+
+def apply_list_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
+    """(profile_id, field, items) of list fields after the edits (profile_id, event_id, field, action, value) in order:
+    add appends what is not there, remove takes all equal items out. profiles has the items before (null: none)."""
+    ordered = edits.where(F.col("action").isin("add", "remove")).groupBy("profile_id", "field").agg(F.sort_array(F.collect_list(F.struct("event_id", "action", "value"))).alias("_log"))
+    none = F.array().cast("array<string>")
+
+    def step(items: Column, e: Column) -> Column:
+        without = F.filter(items, lambda x: x != e["value"])
+        return F.when(e["action"] == "remove", without).when(F.array_contains(items, e["value"]), items).otherwise(F.concat(items, F.array(e["value"])))
+
+    both = profiles.select("profile_id", "field", "items").join(ordered, ["profile_id", "field"], "full")
+    return both.select("profile_id", "field", F.aggregate(F.coalesce("_log", F.array().cast("array<struct<event_id:bigint,action:string,value:string>>")), F.coalesce("items", none), step).alias("items"))
+
+
+def apply_scalar_edits(edits: DataFrame) -> DataFrame:
+    """(profile_id, field, value) that the last set of each field leaves: numbers where the field holds numbers (else
+    null), true or false where it holds truth values, and null for the text null."""
+    last = edits.where("action = 'set'").groupBy("profile_id", "field").agg(F.max_by("value", "event_id").alias("value"))
+    name, empty = F.substring_index("field", ".", -1), F.coalesce("value", F.lit("null")).isin("", "null")
+    number = F.try_to_number(F.col("value"), F.lit("S9999999999")).cast("long").cast("string")
+    value = (
+        F.when(name.isin(NUMBER_FIELDS), F.when(~empty, number))
+        .when(name.isin(TRUTH_FIELDS), F.when(~empty, F.col("value").isin(YES).cast("string")))
+        .otherwise(F.when(F.col("value") != "null", F.col("value")))
+    )
+    return last.select("profile_id", "field", value.alias("value"))
+
+
 def clear_profile(jobs: DataFrame, verdicts: DataFrame, profile_id: int) -> DataFrame:
     """Jobs (job_key) that a verdict of another profile refers to; the others go with the profile."""
     left = verdicts.where(F.col("profile_id") != profile_id).select("job_key").distinct()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pay
+from . import country, location
+
 #: Words of titles that carry no meaning.
 TITLE_STOPWORDS = "senior junior lead staff principal associate head director vice president level with from this that will have been some more than".split()
 
@@ -15,11 +18,14 @@ def items(joined: Column) -> Column:
 
 
 def excluded_company(company: Column, names: Column) -> Column:
-    low = F.lower(company)
+    """An excluded name holds the company or stands in it; a null company counts as empty, which every name holds."""
+    low = F.lower(F.coalesce(company, F.lit("")))
     return F.exists(names, lambda x: F.contains(low, x) | F.contains(x, low))
 
 
 def wrong_remote_type(kind: Column, wanted: Column) -> Column:
+    """A known type other than the wanted one; a null type is unknown, a null wish is none."""
+    kind, wanted = F.lower(F.coalesce(kind, F.lit("unknown"))), F.lower(F.coalesce(wanted, F.lit("")))
     return ~wanted.isin("", "flexible") & (kind != "unknown") & (kind != wanted)
 
 
@@ -48,6 +54,7 @@ def significant(text: Column) -> Column:
 
 def title_matches(title: Column, wanted: Column) -> Column:
     """No wanted titles, no title, a wanted phrase in the title, or a significant word in common."""
+    title = F.coalesce(title, F.lit(""))
     low = F.lower(title)
     return (F.size(wanted) == 0) | (title == "") | F.exists(wanted, lambda x: F.contains(low, x)) | F.arrays_overlap(significant(low), significant(F.array_join(wanted, " ")))
 
@@ -64,6 +71,52 @@ def first_reason() -> Column:
     )
 
 
+#: Characters of a description that the industry and company-type rules read.
+SNIPPET = 300
+
+
+def judge(pairs: DataFrame) -> DataFrame:
+    """pairs of postings and profiles with reason, the text of the first hard requirement that fails (null: none does),
+    and title_ok, the looser rule on wanted titles.
+
+    Postings: company, title, location, remote_type, salary_min, description, needs_clearance, pay (candidates).
+    Profiles: company_exclude, has_clearance, hard_remote, hard_salary_min, exclude_industries, exclude_company_types,
+    exclude_titles, countries, areas, job_titles, preferred_locations (arrays but for has_clearance, hard_remote and
+    hard_salary_min). Nulls count as empty, a null has_clearance as unsaid. Places are judged once for each distinct
+    place and list.
+    """
+    pairs = country.on_distinct(pairs, ["location", "countries"], "_abroad", country.outside(F.col("location"), F.col("countries")))
+    pairs = country.on_distinct(pairs, ["location", "remote_type", "areas"], "_far", location.outside_areas(F.col("location"), F.col("remote_type"), F.col("areas")))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    low = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(x))
+    start = F.substring(text("description"), 1, SNIPPET)
+    floor = F.coalesce("hard_salary_min", F.lit(0))
+    least = F.coalesce("salary_min", pay.choose(F.col("pay"), F.col("preferred_locations"))["lo"])
+    industry = first_contained(F.concat_ws(" ", text("company"), start), low("exclude_industries"))
+    kind = first_contained(F.concat_ws(" ", text("company"), text("title"), start), low("exclude_company_types"))
+    phrase = excluded_title(text("title"), F.transform(low("exclude_titles"), lambda x: F.btrim(x)))
+    remote = F.lower(F.coalesce("remote_type", F.lit("unknown")))
+    reason = F.coalesce(
+        F.when(excluded_company(F.col("company"), F.transform(low("company_exclude"), lambda x: F.btrim(x))), F.concat(F.lit("Company '"), text("company"), F.lit("' is on the exclude list"))),
+        F.when((F.col("has_clearance") == F.lit(False)) & F.col("needs_clearance"), "Job requires federal security clearance but candidate has none"),
+        F.when(wrong_remote_type(F.col("remote_type"), F.col("hard_remote")), F.concat(F.lit("Remote type '"), remote, F.lit("' does not match required '"), F.lower("hard_remote"), F.lit("'"))),
+        F.when(below_floor(least, floor), F.concat(F.lit("Salary $"), F.format_number(least, 0), F.lit(" is below required minimum $"), F.format_number(floor, 0))),
+        F.concat(F.lit("Industry exclusion matched: '"), industry, F.lit("'")),
+        F.concat(F.lit("Company type exclusion matched: '"), kind, F.lit("'")),
+        F.concat(F.lit("Title exclusion matched: '"), phrase, F.lit("'")),
+        F.when(F.col("_abroad"), F.concat(F.lit("Location '"), text("location"), F.lit("' is outside required country"))),
+        F.when(F.col("_far"), F.concat(F.lit("Job in '"), text("location"), F.lit("' is outside allowed locations and does not offer remote"))),
+    )
+    return pairs.withColumns({"reason": reason, "title_ok": title_matches(F.col("title"), low("job_titles"))}).drop("_abroad", "_far")
+
+
+def filter_verdicts(judged: DataFrame) -> DataFrame:
+    """Hidden verdict rows (profile_id, seq, match_notes, hidden, match_score) of the pairs that a hard requirement or
+    the title rule rejects."""
+    notes = F.coalesce(F.concat(F.lit("[Hard filter] "), "reason"), F.when(~F.col("title_ok"), F.concat(F.lit("[Title filter] Title '"), F.coalesce("title", F.lit("")), F.lit("' contains no target-role keywords"))))
+    return judged.select("profile_id", "seq", notes.alias("match_notes"), F.lit(True).alias("hidden"), F.lit(0.0).alias("match_score")).where("match_notes is not null")
+
+
 def unjudged_pairs(jobs: DataFrame, profiles: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Each of jobs (seq) beside each of profiles (profile_id), without the pairs that any of verdicts records.
 

@@ -37,21 +37,37 @@ def salary_raw(low: Column, high: Column, period: Column) -> Column:
 def parse_relative_date(text: Column, as_of: Column) -> Column:
     """ISO date of phrases such as '3 days ago'; only a number at the start counts; unknown phrases are null."""
     low = F.lower(F.btrim(text))
-    count = lambda unit: F.nullif(F.regexp_extract(low, rf"^(\d+)\s*{unit}", 1), F.lit("")).cast("int")
+    count = lambda unit: F.nullif(F.regexp_extract(low, rf"^(\d+)\s+{unit}", 1), F.lit("")).try_cast("int")
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.to_date(F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))))
     date = (
         F.when(text == "", F.lit(None))
         .when(low.isin("today", "just posted", ""), as_of)
         .when(count("day").isNotNull(), F.date_sub(as_of, count("day")))
         .when(count("hour").isNotNull(), as_of)
-        .when(count("month").isNotNull(), F.date_sub(as_of, 30 * count("month")))
-        .when(count("week").isNotNull(), F.date_sub(as_of, 7 * count("week")))
+        .when(count("month").isNotNull(), F.date_sub(as_of, F.try_multiply(F.lit(30), count("month"))))
+        .when(count("week").isNotNull(), F.date_sub(as_of, F.try_multiply(F.lit(7), count("week"))))
         .otherwise(iso)
     )
     return date.cast("string")
 
 
 def is_fresh(date_posted: Column, cutoff: Column) -> Column:
-    """Posted on or after the cutoff; null and unparseable dates stay."""
-    day = F.to_date(F.try_to_timestamp(date_posted, F.lit("yyyy-MM-dd")))
-    return day.isNull() | (day >= cutoff)
+    """Posted on or after the cutoff, which may be a date or a time; null and unparseable dates stay.
+
+    A time of the form 2024-01-05T10:00:00Z counts with its time of day, a bare date as its midnight.
+    """
+    dated = date_posted.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")
+    at = F.coalesce(F.try_to_timestamp(F.when(dated, date_posted)), F.try_to_timestamp(F.when(dated, F.substring(date_posted, 1, 10)), F.lit("yyyy-MM-dd")))
+    return at.isNull() | (at >= cutoff)
+
+
+def scraped_pay(amount: Column, period: Column) -> Column:
+    """Whole yearly pay of a scraped text: commas and dollar signs go, nan and what is no number are null."""
+    plain = F.regexp_replace(F.coalesce(amount.cast("string"), F.lit("")), r"[,$\s]", "").try_cast("double")
+    return annualize(F.when(~F.isnan(plain), plain), F.lower(F.coalesce(period, F.lit(""))))
+
+
+def fresh_since(as_of: Column, retention_days: int, last_run: Column) -> Column:
+    """Cutoff of a profile: its last run, but retention_days ago at most; a last run that is no time falls back to that."""
+    oldest = F.date_sub(as_of, retention_days).cast("timestamp")
+    return F.greatest(oldest, F.coalesce(F.try_to_timestamp(last_run), oldest))
