@@ -31,6 +31,15 @@ def refilter(verdicts: DataFrame, reasons: DataFrame) -> DataFrame:
     return verdicts.join(reasons.select("profile_id", "job_key", "reason"), ["profile_id", "job_key"]).withColumn("outcome", outcome)
 
 
+def refiltered_state(found: DataFrame) -> DataFrame:
+    """The verdicts that refilter's result leaves: those that fail now are hidden with their reason and without scores,
+    those that pass and were filtered are gone, to be judged anew."""
+    now = F.col("outcome") == "updated"
+    values = {"hidden": F.when(now, True).otherwise(F.col("hidden")), "match_notes": F.when(now, F.concat(F.lit(HARD), "reason")).otherwise(F.col("match_notes")), "match_score": F.when(now, 0.0).otherwise(F.col("match_score"))}
+    values |= {c: F.when(~now, F.col(c)) for c in ("manager_score", "candidate_score") if c in found.columns}
+    return found.where("outcome <> 'deleted'").withColumns(values)
+
+
 def record_verdicts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """stored with the rows of fresh whose (profile_id, job_key) it lacks; of equal keys in fresh the least row."""
     key = ["profile_id", "job_key"]

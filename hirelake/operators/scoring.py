@@ -40,12 +40,12 @@ def compute_scores(pairs: DataFrame, ideal: int | Column) -> DataFrame:
     ideal is the number of a candidate's preferences: one for all, or a column of the pairs that is the same for a key.
     """
     keys = [k for k in ("profile_id", "job_key") if k in pairs.columns]
-    kind = F.lower(F.btrim("category"))
+    kind = F.lower(F.btrim(F.coalesce("category", F.lit(""))))
     hidden = (kind == "compensation") & F.rlike(F.coalesce("job_side", F.lit("")), F.lit(UNDISCLOSED))
     job = (F.coalesce("job_side", F.lit("")) != "") & ~F.coalesce(hidden, F.lit(False))
     own = F.coalesce("candidate_side", F.lit("")) != ""
     p, q = _weight(F.col("job_importance"), MANAGER, UNKNOWN_IMPORTANCE), _weight(F.col("candidate_priority"), CANDIDATE, UNKNOWN_PRIORITY)
-    for_manager, for_candidate, required = kind.isin(MANAGER_KINDS), kind.isin(CANDIDATE_KINDS), F.col("job_importance") == "required"
+    for_manager, for_candidate, required = kind.isin(MANAGER_KINDS), kind.isin(CANDIDATE_KINDS), F.coalesce(F.col("job_importance") == "required", F.lit(False))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     ideal = F.lit(ideal) if isinstance(ideal, int) else ideal
     sums = pairs.groupBy(*keys).agg(

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import feeds, lifecycle, places, planning, queries  # noqa: F401
+from . import feeds, lifecycle, places, planning, queries, texts, whole  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES

@@ -12,6 +12,7 @@ AS_OF = "2024-01-31"
 RETENTION_DAYS = 30
 TITLES = "Senior Data Engineer|Lead Engineer|Product Manager|Data Scientist|Sales Director|Staff Software Engineer|Nurse|Account Executive|Machine-Learning Engineer|QA Analyst|Site Reliability Engineer|Office Manager"
 LOCATIONS = "McLean, VA|Savannah, GA|Seattle, Washington|Remote|Remote, Mexico|Toronto, Canada|Santa Fe, New Mexico|Indianapolis, Indiana|London, UK|Charleston, West Virginia||Anywhere|Austin, Texas|Chicago, IL"
+FILLER = "repeat('Deliver steady results with care. ', 6)"
 STATUSES = "new|applied|phone_screen|interview_1|interview_2|interview_3|offer|rejected|withdrawn|missing_info|new"
 
 
@@ -67,6 +68,51 @@ FROM orders""",
     "actions": f"""
 SELECT event_id, ts, event_id % 1500 AS job_key, CASE event_type WHEN 'view' THEN 'notes' WHEN 'click' THEN 'save' WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'promote' ELSE 'hide' END AS action,
   {_item(STATUSES + "|bogus", "event_id")} AS value FROM events""",
+    "described": f"""
+SELECT o_orderkey AS seq, o_custkey % 8 + 1 AS profile_id, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE {_item(TITLES, "o_orderkey")} END AS title, CASE WHEN o_orderkey % 59 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN '' ELSE concat('Company ', o_custkey % 211) END AS company,
+  CASE WHEN o_orderkey % 67 = 0 THEN NULL ELSE {_item(LOCATIONS + "|Paris, France|New York, NY|Remote, US: all|Bangalore|Toronto, Ontario", "o_orderkey")} END AS location, CASE WHEN o_orderkey % 61 = 0 THEN NULL ELSE {_item("remote|hybrid|on-site|unknown", "o_orderkey")} END AS remote_type,
+  CASE WHEN o_orderkey % 3 < 2 THEN NULL ELSE 60000 + (o_orderkey % 90) * 1000 END AS salary_min, CASE WHEN o_orderkey % 3 < 2 OR o_orderkey % 4 = 0 THEN NULL ELSE 90000 + (o_orderkey % 90) * 1000 END AS salary_max,
+  {_item("greenhouse|lever|jsearch", "o_orderkey")} AS source, o_orderkey % 20 AS page_id, DATE '{AS_OF}' - CAST(o_orderkey % 60 AS INT) AS date_found, CAST(NULL AS STRING) AS date_posted,
+  CASE o_orderkey % 8
+   WHEN 0 THEN concat('<h2>About us</h2><br><br><p>We make things ', o_orderkey, '</p><br><br><h3>Responsibilities</h3><ul><li>Build &amp;amp; run unit ', o_orderkey, '</li><li>', {FILLER}, '</li></ul><br><br><p>Salary range</p><p>$', 60 + o_orderkey % 90, ',000 &mdash; $', 80 + o_orderkey % 90, ',000</p>')
+   WHEN 1 THEN concat('Join a small team. Unit ', o_orderkey, ' pays $', 60 + o_orderkey % 90, 'k per year.')
+   WHEN 2 THEN concat('**About the role**', chr(10), 'Some words ', o_orderkey, chr(10), '**Required Qualifications**', chr(10), {FILLER}, chr(10), chr(10), '**Benefits**', chr(10), 'Pay of $', 60 + o_orderkey % 30, ',000 to $', 80 + o_orderkey % 30, ',000 in Boston ', repeat('z', 450), ' $', 90 + o_orderkey % 9, ',000 to $', 110 + o_orderkey % 9, ',000 in Austin')
+   WHEN 3 THEN '' WHEN 4 THEN concat('<p>Please sign in to view this job ', o_orderkey, '</p><h2>Requirements</h2>')
+   WHEN 5 THEN concat('What you will do', chr(10), 'Plan unit ', o_orderkey, '. ', {FILLER}, chr(10), CASE WHEN o_orderkey % 16 = 5 THEN 'A security clearance is a plus.' ELSE 'A secret clearance is needed for all of the work we do here.' END)
+   WHEN 6 THEN NULL ELSE concat('Requirements', chr(10), 'Short ', o_orderkey) END AS description
+FROM orders""",
+    "seekers": """
+SELECT * FROM (VALUES
+  (1, 'company 1', false, 'flexible', 0, '', '', 'manager', 'us', '', 'Data Engineer|Site Reliability Engineer', 'Austin, Texas', 'Fair pay|Remote work', 'Tea', 'remote', 90000),
+  (2, '', true, 'Remote', 0, 'steady', '', '', 'canada|uk', '', 'Software Engineer', '', '', 'Bikes|Books', 'hybrid', 0),
+  (3, '', CAST(NULL AS BOOLEAN), 'hybrid', 100000, '', 'data', 'director|nurse', '', 'Virginia|md', '', 'Remote', 'Good team', '', 'flexible', 80000),
+  (4, 'company 20|company 3', false, '', 120000, 'company 7', '', '', 'Mexico', '', 'Product Manager', 'Austin, Texas|Boston', 'Salary over 100k', '', 'on-site', 100000),
+  (5, '', false, 'flexible', 80000, '', 'nurse', 'lead', 'germany', 'tx|dc|wa', 'Lead Engineer|QA Analyst', '', '', '', '', 0),
+  (6, '', CAST(NULL AS BOOLEAN), '', 0, '', '', '', '', '', '', '', '', '', '', 0),
+  (7, '', true, 'on-site', 0, '', 'sign in', 'senior', 'usa|france', 'new mexico|london', 'Data Scientist', '', 'a|b|c', 'd', 'unknown', 0),
+  (8, 'company 9', false, 'remote', 90000, '', '', 'qa', 'india', '', 'Account Executive', 'Austin, Texas', 'No office', 'x|y', 'remote', 1)
+) AS p(profile_id, company_exclude, has_clearance, hard_remote, hard_salary_min, exclude_industries, exclude_company_types, exclude_titles, countries, areas, job_titles, preferred_locations, must_haves, nice_to_haves, work_style, pay_wish)""",
+    "linked": f"SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN concat('<h2>Requirements</h2><p>', {FILLER}, page_id, '</p>') ELSE '<p>Gone</p>' END AS html FROM pages",
+    "own_matches": """
+SELECT l_suppkey % 8 + 1 AS profile_id, l_orderkey % 3000 AS job_key, CASE l_partkey % 8 WHEN 0 THEN 'Skill' WHEN 1 THEN ' experience' WHEN 2 THEN 'domain' WHEN 3 THEN 'compensation' WHEN 4 THEN 'EQUITY' WHEN 5 THEN 'benefits ' WHEN 6 THEN 'work_arrangement' ELSE NULL END AS category,
+  CASE l_suppkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'Salary not disclosed' WHEN 2 THEN 'N/A' WHEN 3 THEN 'TBD' WHEN 4 THEN '' WHEN 5 THEN 'Pay is confidential' WHEN 6 THEN 'Not  stated' ELSE 'job side' END AS job_side,
+  CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 11 = 0 THEN '' ELSE 'candidate side' END AS candidate_side,
+  CASE WHEN l_returnflag = 'R' THEN 'required' WHEN l_returnflag = 'A' THEN 'preferred' WHEN l_linestatus = 'F' THEN 'nice_to_have' ELSE NULL END AS job_importance,
+  CASE WHEN l_linestatus = 'F' THEN 'must_have' WHEN l_linenumber % 2 = 0 THEN 'nice_to_have' ELSE NULL END AS candidate_priority
+FROM lineitem""",
+    "shared_verdicts": f"""
+SELECT p AS profile_id, o_orderkey AS job_key, {_item(STATUSES, "(o_orderkey + p)")} AS status, (o_orderkey + p) % 3 = 0 AS hidden, CASE WHEN (o_orderkey + p) % 19 = 0 THEN NULL ELSE (o_orderkey + p) % 10 = 0 END AS saved,
+  CASE WHEN (o_orderkey + p) % 5 = 0 THEN DATE '{AS_OF}' - CAST(o_orderkey % 30 AS INT) ELSE NULL END AS status_updated,
+  CASE (o_orderkey * 5 + p) % 9 WHEN 0 THEN '[Hard filter] company' WHEN 1 THEN '[Title filter] no match' WHEN 2 THEN '[Missing info] short' WHEN 3 THEN NULL ELSE 'fits' END AS match_notes,
+  CASE WHEN (o_orderkey + p) % 8 = 0 THEN NULL ELSE (o_orderkey * 7 + p) % 201 END AS manager_score, CASE WHEN (o_orderkey + p) % 8 < 2 THEN NULL ELSE (o_orderkey * 11 + p) % 201 END AS candidate_score, (o_orderkey * 13 + p) % 101 / CAST(100 AS DOUBLE) AS match_score
+FROM (SELECT o_orderkey, p FROM orders, (SELECT * FROM (VALUES (1), (2), (3)) AS v(p)) v WHERE o_orderkey % 5 = 0)""",
+    "own_actions": f"""
+SELECT event_id, ts, user_id % 3 + 1 AS profile_id, event_id % 300 * 5 AS job_key, CASE event_type WHEN 'view' THEN 'notes' WHEN 'click' THEN 'save' WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'promote' ELSE 'hide' END AS action,
+  {_item(STATUSES + "|bogus", "event_id")} AS value FROM events""",
+    "edits": """
+SELECT user_id AS profile_id, event_id, CASE event_type WHEN 'view' THEN 'skills' WHEN 'click' THEN 'skills' WHEN 'signup' THEN 'salary_min' WHEN 'purchase' THEN 'hard_requirements.has_clearance' ELSE 'work_style' END AS field,
+  CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'remove' ELSE 'set' END AS action, CASE event_type WHEN 'view' THEN concat('s', event_id % 3) WHEN 'click' THEN concat('s', event_id % 3) WHEN 'signup' THEN CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN 'much' ELSE concat('', event_id) END WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN '' WHEN 2 THEN 'true' ELSE 'no' END ELSE CASE event_id % 3 WHEN 0 THEN 'null' ELSE 'remote' END END AS value
+FROM events""",
     "usage": "SELECT event_type AS service, CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 15 ELSE 31 END AS reset_day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
@@ -81,7 +127,7 @@ def derive(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> Data
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived view over the tables of sf_dir."""
-    used = [t for t in ("orders", "lineitem", "supplier", "events") if f"FROM {t}" in VIEWS[name]]
+    used = [t for t in ("orders", "lineitem", "supplier", "events", "pages") if f"FROM {t}" in VIEWS[name]]
     return derive(spark, name, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 

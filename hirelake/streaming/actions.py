@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import lifecycle
 
 
-def start_actions(events: DataFrame, verdicts: DataFrame, table: str, checkpoint: str, top_n: int, least: float):
+def start_actions(events: DataFrame, verdicts: DataFrame, table: str, checkpoint: str, top_n: int, least: float, prepare=None):
     """Starts a stream of actions (profile_id, job_key, event_id, ts, action, value) that ends when what has landed is done.
 
     A batch folds its actions into the log of the keys it names and derives their state from the first verdicts anew, so
@@ -17,7 +17,7 @@ def start_actions(events: DataFrame, verdicts: DataFrame, table: str, checkpoint
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/log/batch={batch_id}")
+        (prepare(batch) if prepare else batch).write.mode("overwrite").parquet(f"{table}/log/batch={batch_id}")
         state(batch.sparkSession, verdicts, table, top_n, least, batch_id).write.mode("overwrite").parquet(f"{table}/state/batch={batch_id}")
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -27,3 +27,10 @@ def state(spark: SparkSession, verdicts: DataFrame, table: str, top_n: int, leas
     """State of the verdicts after the actions of all batches up to batch_id; each event counts once."""
     log = spark.read.parquet(f"{table}/log").where(F.col("batch") <= batch_id).drop("batch").dropDuplicates(["event_id"])
     return lifecycle.after_actions(verdicts, log, top_n, least)
+
+
+def latest(spark: SparkSession, table: str) -> DataFrame:
+    """The state that the last batch left."""
+    found = spark.read.parquet(f"{table}/state")
+    last = found.agg(F.max("batch").alias("batch"))
+    return found.join(F.broadcast(last), "batch").drop("batch")
