@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -81,12 +82,12 @@ def anchor_places(n: int) -> np.ndarray:
     return at[np.isin(at % PERIOD, COVER)]
 
 
-def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def anchors(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     for frame in batches:
         for rows, words in chunks(frame):
             h = rolling(words, ANCHOR, 0x100000001B3 | 1)
             places = [anchor_places(n) for _, _, n in rows]
-            at = np.concatenate([(int(r.base) << UNIT_BITS) + p for (r, _, _), p in zip(rows, places, strict=True)])
+            at = np.concatenate([(int(r.base) << bits) + p for (r, _, _), p in zip(rows, places, strict=True)])
             own = np.concatenate([first + p for (_, first, _), p in zip(rows, places, strict=True)])
             yield pd.DataFrame({"h": h[own].view(np.int64), "at": at})
 
@@ -102,13 +103,13 @@ def candidates(n: int, single: np.ndarray | None) -> np.ndarray:
     return starts[total[starts + PERIOD] > total[starts]]
 
 
-def candidate_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def candidate_windows(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     for frame in batches:
         for rows, words in chunks(frame):
             places = [candidates(n, r.single) for r, _, n in rows]
             own = np.concatenate([first + p for (_, first, _), p in zip(rows, places, strict=True)])
             if len(own):
-                at = np.concatenate([(int(r.base) << UNIT_BITS) + p for (r, _, _), p in zip(rows, places, strict=True)])
+                at = np.concatenate([(int(r.base) << bits) + p for (r, _, _), p in zip(rows, places, strict=True)])
                 yield pd.DataFrame({"h": rolling(words, WINDOW, 0x5851F42D4C957F2D)[own].view(np.int64), "g": rolling(words, WINDOW, 0xD1342543DE82EF95)[own].view(np.int64), "at": at})
 
 
@@ -137,7 +138,7 @@ def copies(marks: DataFrame) -> DataFrame:
     return look_up(marks.select("doc_id", "mark"), least, "mark", "inner").where("doc_id > own").groupBy("doc_id").agg(F.count("*").alias("n_copies"))
 
 
-def number(docs: DataFrame) -> DataFrame:
+def number(docs: DataFrame, bits: int) -> DataFrame:
     """(doc_id, base, units, is_copy) of each id, numbered in order: base is its first number, units how many it has.
 
     Ids are dealt out by ranges; a range is numbered in its task, behind the sum of the ranges before it.
@@ -146,7 +147,7 @@ def number(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marks = cut(docs.where("doc_id is not null").select("doc_id", F.md5(text).alias("mark"), F.octet_length(text).alias("size")))
     sizes = marks.groupBy("doc_id").agg(F.max("size").alias("size"), F.count("*").alias("n_rows"))
-    units = (1 + F.floor(F.col("size") / (2 << UNIT_BITS))).cast("long")
+    units = (1 + F.floor(F.col("size") / (2 << bits))).cast("long")
     facts = sizes.join(copies(marks), "doc_id", "left").select("doc_id", units.alias("units"), F.coalesce(F.col("n_copies") == F.col("n_rows"), F.lit(False)).alias("is_copy"))
     ranged = cut(facts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     before, offsets = 0, []
@@ -166,17 +167,17 @@ def number(docs: DataFrame) -> DataFrame:
     return cut(local.join(starts, "part").select("doc_id", (F.col("base") + F.col("start")).alias("base"), "units", "is_copy"))
 
 
-def _by_doc(places: DataFrame, numbers: DataFrame, extra: DataFrame | None, name: str) -> DataFrame:
+def _by_doc(places: DataFrame, numbers: DataFrame, extra: DataFrame | None, name: str, bits: int) -> DataFrame:
     """The places of each document as one array; a document has no more of them than words."""
-    unit = F.shiftright("at", UNIT_BITS).alias("unit")
+    unit = F.shiftright("at", bits).alias("unit")
     if extra is None:
-        own = places.select(unit.alias("base"), F.col("at").bitwiseAND(F.lit((1 << UNIT_BITS) - 1)).cast("int").alias("p"))
+        own = places.select(unit.alias("base"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("p"))
     else:
-        own = places.select("at", unit).join(extra, "unit", "left").select("at", F.coalesce("base", "unit").alias("base")).select("base", (F.col("at") - F.shiftleft("base", UNIT_BITS)).cast("int").alias("p"))
+        own = places.select("at", unit).join(extra, "unit", "left").select("at", F.coalesce("base", "unit").alias("base")).select("base", (F.col("at") - F.shiftleft("base", bits)).cast("int").alias("p"))
     return own.groupBy("base").agg(F.collect_list("p").alias(name)).join(numbers.select("base", "doc_id"), "base").select("doc_id", name)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, bits: int = UNIT_BITS) -> DataFrame:
     """docs (doc_id, text and any others) with n_words, n_removed and kept_text.
 
     All passes read the documents from one shuffle by id, so that places meet their texts without another.
@@ -184,14 +185,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     rest = {c: f"other{i}" for i, c in enumerate(columns) if c not in ("doc_id", "text")}  # no names of ours
     slim = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(name) for c, name in rest.items()))
-    numbers = number(slim)
+    numbers = number(slim, bits)
     longer = numbers.where("units > 1")
     extra = None if longer.isEmpty() else longer.select("base", F.explode(F.sequence(F.col("base") + 1, F.col("base") + F.col("units") - 1)).alias("unit"))
     marked = slim.join(numbers.select("doc_id", "base", "is_copy"), "doc_id", "left")
-    once = marked.mapInPandas(anchors, "h long, at long").groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("n")).where("n = 1")
-    with_single = marked.join(_by_doc(once, numbers, extra, "single"), "doc_id", "left")
-    first = with_single.mapInPandas(candidate_windows, "h long, g long, at long").groupBy("h", "g").agg(F.min("at").alias("at"))
-    found = with_single.join(_by_doc(first, numbers, extra, "first"), "doc_id", "left")
+    once = marked.mapInPandas(partial(anchors, bits=bits), "h long, at long").groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("n")).where("n = 1")
+    with_single = marked.join(_by_doc(once, numbers, extra, "single", bits), "doc_id", "left")
+    first = with_single.mapInPandas(partial(candidate_windows, bits=bits), "h long, g long, at long").groupBy("h", "g").agg(F.min("at").alias("at"))
+    found = with_single.join(_by_doc(first, numbers, extra, "first", bits), "doc_id", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def apply(base: pd.Series, texts: pd.Series, copy: pd.Series, single: pd.Series, first: pd.Series) -> pd.DataFrame:
