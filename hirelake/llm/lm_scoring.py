@@ -39,8 +39,8 @@ NOISE = 10
 ROUNDS, BATCH, SHARED, LEAST_VISITS, MOST_PASSES, BLOCK, CONTEXTS, RATE = 4, 1024, 10 * NOISE, 2_000_000, 50, 8192, 256, 0.1
 #: Tokens whose counts are broadcast, at most, besides the model's.
 FREQUENT = 100_000
-#: Rows of a batch in a worker.
-ROWS = 1000
+#: Rows of a batch in a worker; rows of a frame that it returns, and a document's more.
+ROWS, FRAME = 1000, 20_000
 #: The end of a text among the tokens; no word holds a space.
 END = " "
 
@@ -250,6 +250,10 @@ def _score(docs: DataFrame, training: DataFrame) -> DataFrame:
         """A row of sums for each document, and a row for each of its rarer tokens."""
         count, place, weights, norm = shared.value
         logs = {w: np.log10(c + 0.5) for w, c in count.items()}
+
+        def told(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["doc_id", "mark", "token", "k", "row", "n_tokens", "known", "base", "model"]).astype({"doc_id": id_kind})
+
         for b in batches:
             out = []
             for doc, mark, text in zip(b["doc_id"], b["mark"], b["text"], strict=True):
@@ -269,7 +273,10 @@ def _score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 unknown = int((ids == 1).sum())
                 out.append((doc, mark, f"\t{doc}\t{mark}", 0, 1, len(w), known, base - len(w) * base_norm, model + tail - unknown * tail_norm))
                 out += [(doc, mark, x, k, 0, 0, 0, 0.0, 0.0) for x, k in rare.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "mark", "token", "k", "row", "n_tokens", "known", "base", "model"]).astype({"doc_id": id_kind})
+                if len(out) > FRAME:
+                    yield told(out)
+                    out = []
+            yield told(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_kind = "Int64" if kind in ("bigint", "int", "smallint", "tinyint") else "object"
