@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, cut, most_frequent, stored, table
+from .common import batch_rows, cut, most_frequent, short_plans, stored, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 FREQUENT = 500_000
@@ -193,7 +193,9 @@ class Encoder:
         pieces = docs.select(F.explode(self.pieces(F.col("text"))).alias("piece")).where(F.octet_length("piece") <= LONG_PIECE)
         counts = cut(pieces.groupBy("piece").agg(F.count("*").alias("c")).where("c > 1"))
         top = most_frequent(counts, limit, "piece").select("piece").repartition(self.spark.sparkContext.defaultParallelism * 2, "piece")
-        return top.select(F.col("piece").cast("binary").alias("piece"), start("piece").alias("start")).select("piece", self.fold(F.col("start")).alias("ids")).toArrow()
+        started = top.select(F.col("piece").cast("binary").alias("piece"), start("piece").alias("start"))
+        with short_plans(self.spark):
+            return started.select("piece", self.fold(F.col("start")).alias("ids")).toArrow()
 
     def encode(self, docs: DataFrame, limit: int = FREQUENT, then=None, schema: T.StructType | None = None) -> DataFrame:
         """docs with the column ids, an array of token ids; or what then, run in the same workers, makes of those rows.
@@ -271,7 +273,7 @@ class Encoder:
         coded = cut_up.mapInArrow(look_up, T.StructType([*own.fields, T.StructField("_codes", ints), T.StructField("_starts", T.ArrayType(ints))]))
         folded = coded.select(*kept, "_codes", F.transform("_starts", self.fold).alias("_folded"))
         whole = T.StructType([*own.fields, T.StructField("ids", ints)])
-        with batch_rows(self.spark, ROWS):
+        with batch_rows(self.spark, ROWS), short_plans(self.spark):
             return stored(folded.mapInArrow(assemble, whole) if then is None else folded.mapInArrow(lambda batches: then(assemble(batches)), schema))
 
     def decoder(self, kept: list[str]):

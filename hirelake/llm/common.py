@@ -87,6 +87,22 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Within the block, descriptions of plans show the first field of each list alone and end early; for projections
+    whose later fields hold large literals, since the driver keeps those texts with each execution. Afterwards the session
+    is as it was."""
+    own = {"spark.sql.debug.maxToStringFields": "1", "spark.sql.maxPlanStringLength": "100000"}
+    before = {name: spark.conf.get(name) for name in own}
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def sample_rows(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
     """At most limit rows, chosen by the hash of keys alone, so the same for any partitioning.
 
