@@ -21,3 +21,10 @@ def first_wins(rows: DataFrame, stored_keys: DataFrame | None = None) -> DataFra
     fields = [c for c in keyed.columns if c != "job_key"]
     first = keyed.groupBy("job_key").agg(F.min_by(F.struct(*fields), F.struct("profile_id", "source_rank", "seq")).alias("r")).select("job_key", "r.*")
     return first if stored_keys is None else first.join(stored_keys.select("job_key").distinct(), "job_key", "left_anti")
+
+
+def counts(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """profile_id, seen (rows, the skipped ones included) and new (first_wins' rows) of each profile that fetched rows."""
+    added = new.groupBy("profile_id").agg(F.count("*").alias("new"))
+    seen = rows.groupBy("profile_id").agg(F.count("*").alias("seen"))
+    return seen.join(added, seen["profile_id"].eqNullSafe(added["profile_id"]), "left").select(seen["profile_id"], "seen", F.coalesce("new", F.lit(0)).alias("new"))

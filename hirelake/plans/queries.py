@@ -60,6 +60,25 @@ def filter_fresh(spark, d):
     return view(spark, d, "postings").where(normalize.is_fresh(F.col("date_posted"), F.date_sub(F.lit(AS_OF).cast("date"), 10))).select("seq")
 
 
+_LAST_OK = "SELECT profile_id, min(hours_ago) FILTER (status = 'success') AS h FROM runs GROUP BY 1"
+_OLDEST_TS = f"CAST({NOW} - 10 AS TIMESTAMP)"
+#: Every fourth profile's last run is stored as what is no time.
+_CUTOFF = f"CASE WHEN h IS NULL OR profile_id % 4 = 3 THEN {_OLDEST_TS} ELSE greatest({_OLDEST_TS}, CAST({NOW} AS TIMESTAMP) - to_hours(CAST(h AS BIGINT))) END"
+
+
+@query(
+    "filter_fresh_since_run",
+    f"SELECT seq FROM postings LEFT JOIN ({_LAST_OK}) USING (profile_id) WHERE try_cast(date_posted AS TIMESTAMP) IS NULL OR try_cast(date_posted AS TIMESTAMP) >= {_CUTOFF}",
+)
+def filter_fresh_since_run(spark, d):
+    as_of = F.lit(AS_OF).cast("date")
+    ok = view(spark, d, "runs").where("status = 'success'").groupBy("profile_id").agg(F.min("hours_ago").cast("int").alias("h"))
+    last = F.when(F.col("profile_id") % 4 == 3, "never").otherwise((as_of.cast("timestamp") - F.make_interval(hours=F.col("h"))).cast("string"))
+    cutoffs = ok.select("profile_id", normalize.fresh_since(as_of, 10, last).alias("cutoff"))
+    dated = view(spark, d, "postings").join(F.broadcast(cutoffs), "profile_id", "left")  # profiles are a fixed few
+    return dated.where(normalize.is_fresh(F.col("date_posted"), F.coalesce("cutoff", normalize.fresh_since(as_of, 10, F.lit(None))))).select("seq")
+
+
 KEY = "substr(md5(concat(regexp_replace(lower(title), '[^\\p{L}\\p{N}_|]', '', 'g'), '|', regexp_replace(lower(company), '[^\\p{L}\\p{N}_|]', '', 'g'), '|', regexp_replace(lower(location), '[^\\p{L}\\p{N}_|]', '', 'g'))), 1, 16)"
 
 
@@ -75,6 +94,19 @@ def dedupe_insert_new(spark, d):
     return ingest.first_wins(rows, stored).select("job_key", "seq", F.col("profile_id").alias("fetched_for"))
 
 
+@query(
+    "ingest_counts",
+    f"""SELECT profile_id, count(*) AS seen, count(*) FILTER (rn = 1 AND job_key NOT IN (SELECT {KEY} FROM postings WHERE seq % 17 = 0)) AS new
+    FROM (SELECT *, CASE WHEN usable THEN row_number() OVER (PARTITION BY usable, job_key ORDER BY profile_id, source_rank, seq) END AS rn
+          FROM (SELECT *, coalesce(title <> '' AND company <> '', false) AS usable, coalesce({KEY}, '') AS job_key FROM postings))
+    GROUP BY 1""",
+)
+def ingest_counts(spark, d):
+    rows = view(spark, d, "postings")
+    stored = rows.where("seq % 17 = 0").select(ingest.job_key(F.col("title"), F.col("company"), F.col("location")).alias("job_key"))
+    return ingest.counts(rows, ingest.first_wins(rows, stored))
+
+
 def matched(spark, d) -> DataFrame:
     """Postings beside the requirements of the profile that fetched them; the profiles are a fixed few."""
     return view(spark, d, "postings").join(view(spark, d, "profiles"), "profile_id")
