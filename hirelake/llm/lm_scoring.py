@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import copy
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,16 +37,19 @@ NOISE = 10
 #: (few pairs are passed over up to MOST_PASSES times); rows of a block of vectors; contexts that are
 #: normalised together; step size.
 ROUNDS, BATCH, SHARED, LEAST_VISITS, MOST_PASSES, BLOCK, CONTEXTS, RATE = 4, 1024, 10 * NOISE, 2_000_000, 50, 8192, 256, 0.1
+#: Pairs that a task holds at a time, besides a batch of Arrow's.
+GATHERED = 64 * BATCH
 #: Tokens whose counts are broadcast, at most, besides the model's.
 FREQUENT = 100_000
-#: Rows of a batch in a worker; rows of a frame that it returns, and a document's more.
-ROWS, FRAME = 1000, 20_000
+#: Rows of a batch in a worker; tokens of a frame that it returns (a document's more), and tokens scored together.
+ROWS, FRAME, PIECE = 1000, 20_000, 65_536
 #: The end of a text among the tokens; no word holds a space.
 END = " "
 
 
-def tokens(text: str | None) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "replace").lower().split()] + [END]
+def tokens(text: str | None) -> list[bytes]:
+    """The UTF-8 words and the end; bytes, so that lower-casing and splitting touch ASCII alone."""
+    return [*(text or "").encode("utf-8", "replace").lower().split(), END.encode()]
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -57,28 +60,33 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             c: Counter = Counter()
             for t in b["text"]:
                 c.update(tokens(t))
-            yield pd.DataFrame({"token": list(c.keys()), "c": list(c.values())})
+            yield pd.DataFrame({"token": [w.decode() for w in c], "c": list(c.values())})
 
     return docs.select("text").mapInPandas(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def count_pairs(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(context, target, n): neighbouring classes of docs(text); the start is class 0, the others' class 1."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(vocabulary)})
+    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): i + 2 for i, w in enumerate(vocabulary)})
     size = len(vocabulary) + 2
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        place = shared.value.get
         for b in batches:
-            ids = [np.fromiter((known.get(w, 1) for w in tokens(t)), np.int64) for t in b["text"]]
-            keys, n = np.unique(np.concatenate([np.concatenate([[0], x[:-1]]) * size + x for x in ids]), return_counts=True)
+            ids = [0]
+            for t in b["text"]:
+                ids += [place(w, 1) for w in tokens(t)]
+                ids.append(0)
+            ids = np.array(ids, np.int64)
+            keys, n = np.unique((ids[:-1] * size + ids[1:])[ids[1:] > 0], return_counts=True)
             yield pd.DataFrame({"context": (keys // size).astype(np.int32), "target": (keys % size).astype(np.int32), "n": n})
 
     return docs.select("text").mapInPandas(count, "context int, target int, n long").groupBy("context", "target").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Weights (context vector, target vector, bias) of each class, and beside them the mean squares that Adagrad keeps for each of the three."""
+    """A context vector (own) and a target vector with its bias (to) of each class, and beside them the mean squares that
+    Adagrad keeps for context, target and bias."""
 
     def __init__(self, contexts: np.ndarray, targets: np.ndarray, n_pairs: int, seed: int = 11):
         """contexts and targets: how often each class is the one and the other; n_pairs: different pairs."""
@@ -90,8 +98,9 @@ class Model:
         self.root = np.sqrt(np.maximum(contexts, 1))  # contexts count by the root of their frequency
         self.mean = max(np.sqrt(contexts).sum() / max(n_pairs, 1), 1e-12)
         self.passes = int(np.clip(LEAST_VISITS // max(n_pairs, 1), 1, MOST_PASSES))
-        self.weights = np.random.default_rng(seed).normal(0, 0.05, (len(targets), 2 * DIMENSIONS + 1)).astype(np.float32)
-        self.weights[:, -1] = np.log(unigram)
+        start = np.random.default_rng(seed).normal(0, 0.05, (len(targets), 2 * DIMENSIONS + 1)).astype(np.float32)
+        start[:, -1] = np.log(unigram)
+        self.own, self.to = start[:, :DIMENSIONS].copy(), start[:, DIMENSIONS:].copy()
         self.squares = np.full((len(targets), 3), 1e-6, np.float32)
 
     def learn(self, context: np.ndarray, target: np.ndarray, n: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> None:
@@ -109,29 +118,50 @@ class Model:
 
     def _step(self, c: np.ndarray, t: np.ndarray, w: np.ndarray, y: np.ndarray, seen: np.ndarray) -> None:
         d = DIMENSIONS
-        own, real, fake = self.weights[c, :d], self.weights[t, d:], self.weights[y, d:]
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        up = w * (sigmoid((own * real[:, :d]).sum(axis=1) + real[:, d] - self.base[t]) - 1)[:, None]
-        down = w * sigmoid(own @ fake[:, :d].T + fake[:, d] - self.base[y]) * np.float32(NOISE / SHARED)
-        one = np.ones((len(c), 1), np.float32)
-        to_target = np.concatenate([up * np.hstack([own, one]), down.T @ np.hstack([own, one])])
-        for ids, g, first, side in ((c, up * real[:, :d] + down @ fake[:, :d], 0, 0), (np.concatenate([t, y]), to_target, d, 1)):
+        own, real, fake = self.own.take(c, axis=0), self.to.take(t, axis=0), self.to.take(y, axis=0)
+
+        def sigmoid(x: np.ndarray) -> np.ndarray:
+            x *= np.float32(0.5)
+            np.tanh(x, out=x)
+            x += 1
+            x *= np.float32(0.5)
+            return x
+
+        up = w * (sigmoid(np.einsum("ij,ij->i", own, real[:, :d]) + real[:, d] - self.base[t]) - 1)[:, None]
+        down = own @ fake[:, :d].T
+        down += fake[:, d] - self.base[y]
+        down = sigmoid(down)
+        down *= w * np.float32(NOISE / SHARED)
+        to_own = down @ fake[:, :d]
+        to_own += up * real[:, :d]
+        to_target = np.empty((len(t) + len(y), d + 1), np.float32)
+        np.multiply(up, own, out=to_target[: len(t), :d])
+        np.matmul(down.T, own, out=to_target[len(t) :, :d])
+        to_target[: len(t), d], to_target[len(t) :, d] = up[:, 0], down.sum(axis=0)
+        for ids, g, table, side in ((c, to_own, self.own, 0), (np.concatenate([t, y]), to_target, self.to, 1)):
             order = np.argsort(ids, kind="stable")
-            rows, starts = np.unique(ids[order], return_index=True)
-            g = np.add.reduceat(g[order], starts, axis=0)
+            ids = ids[order]
+            starts = np.flatnonzero(np.diff(ids, prepend=-1))
+            rows, g = ids[starts], np.add.reduceat(g.take(order, axis=0), starts, axis=0)
             for cols, which in ((slice(0, d), side), (slice(d, None), 2))[: side + 1]:
-                self.squares[rows, which] += (g[:, cols] * g[:, cols]).mean(axis=1)
-                g[:, cols] *= RATE / np.sqrt(self.squares[rows, which])[:, None]
-            self.weights[rows, first : first + g.shape[1]] -= g
+                part = g[:, cols]
+                squares = self.squares[rows, which] + np.einsum("ij,ij->i", part, part) / np.float32(part.shape[1])
+                self.squares[rows, which] = squares
+                part *= (RATE / np.sqrt(squares))[:, None]
+            table[rows] -= g
             seen[rows, side] += 1
 
+    def change(self, rows: slice) -> tuple[bytes, bytes]:
+        """The vectors, side by side, and the mean squares of a block of classes."""
+        return np.hstack([self.own[rows], self.to[rows]]).tobytes(), self.squares[rows].tobytes()
+
     def normaliser(self, first: int, last: int) -> np.ndarray:
         """log of the sum over all targets but the start, for contexts first to last."""
-        own, d = self.weights[first:last, :DIMENSIONS], DIMENSIONS
+        own, d = self.own[first:last], DIMENSIONS
         top, total = np.full(len(own), -np.inf), np.zeros(len(own))
-        for k in range(1, len(self.weights), BLOCK):
-            block = self.weights[k : k + BLOCK]
-            z = own @ block[:, d : 2 * d].T + block[:, 2 * d]
+        for k in range(1, len(self.to), BLOCK):
+            block = self.to[k : k + BLOCK]
+            z = own @ block[:, :d].T + block[:, d]
             high = np.maximum(top, z.max(axis=1))
             z -= high[:, None].astype(np.float32)
             total = total * np.exp(top - high) + np.exp(z, out=z).sum(axis=1, dtype=np.float64)
@@ -145,18 +175,31 @@ def train_nce(counts: np.ndarray, seed: int = 11) -> np.ndarray:
     model, rng = Model(counts.sum(axis=1), counts.sum(axis=0), len(c), seed), np.random.default_rng(seed)
     for _ in range(ROUNDS * model.passes):
         model.learn(c, t, counts[c, t], np.zeros((len(counts), 2)), rng)
-    z = model.weights[:, :DIMENSIONS] @ model.weights[:, DIMENSIONS:-1].T + model.weights[:, -1] - model.normaliser(0, len(counts))[:, None]
+    z = model.own @ model.to[:, :-1].T + model.to[:, -1] - model.normaliser(0, len(counts))[:, None]
     z[:, 0] = -np.inf
     return (z / np.log(10)).astype(np.float32)
 
 
-def train(pairs: DataFrame, contexts: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, and each context's normaliser, of the model fitted to the table pairs(context, target, n)."""
+def gathered(batches: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches put together to frames of so many rows and a batch at most, so that few minibatches are left short."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def train(pairs: DataFrame, contexts: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context vectors, target vectors with biases, and each context's normaliser, of the model fitted to the table pairs(context, target, n)."""
     spark = pairs.sparkSession
     sc = spark.sparkContext
     pairs = cut(pairs)
     model = Model(contexts, targets, pairs.count())
-    size, width = model.weights.shape
+    size = len(model.to)
     parts = pairs.coalesce(sc.defaultParallelism)
     for turn in range(ROUNDS):
         shared = sc.broadcast(model)
@@ -169,12 +212,13 @@ def train(pairs: DataFrame, contexts: np.ndarray, targets: np.ndarray) -> tuple[
             if own.passes > 1:  # few pairs: held together to be passed over again
                 batches = list(batches)
                 batches = [pd.concat(batches)] * own.passes if batches else []
-            for b in batches:
+            for b in gathered(batches, GATHERED):
                 own.learn(b["context"].to_numpy(), b["target"].to_numpy(), b["n"].to_numpy(), seen, rng)
             for k in range(0, size, BLOCK):
                 rows = slice(k, k + BLOCK)
                 if seen[rows].any():
-                    yield pd.DataFrame({"first": [k], "seen": [seen[rows].tobytes()], "weights": [own.weights[rows].tobytes()], "squares": [own.squares[rows].tobytes()]})
+                    weights, squares = own.change(rows)
+                    yield pd.DataFrame({"first": [k], "seen": [seen[rows].tobytes()], "weights": [weights], "squares": [squares]})
 
         def merge(changed: pd.DataFrame) -> pd.DataFrame:
             """Means of what the tasks made of a block of classes, by how often each changed a class."""
@@ -188,7 +232,8 @@ def train(pairs: DataFrame, contexts: np.ndarray, targets: np.ndarray) -> tuple[
         changed = parts.mapInPandas(learn, "first int, seen binary, weights binary, squares binary")
         for r in changed.groupBy("first").applyInPandas(merge, "first int, weights binary, squares binary").toArrow().to_pylist():
             rows = slice(r["first"], r["first"] + BLOCK)
-            model.weights[rows] = np.frombuffer(r["weights"], np.float32).reshape(-1, width)
+            weights = np.frombuffer(r["weights"], np.float32).reshape(-1, 2 * DIMENSIONS + 1)
+            model.own[rows], model.to[rows] = weights[:, :DIMENSIONS], weights[:, DIMENSIONS:]
             model.squares[rows] = np.frombuffer(r["squares"], np.float32).reshape(-1, 3)
         shared.destroy()
     shared = sc.broadcast(model)
@@ -201,7 +246,7 @@ def train(pairs: DataFrame, contexts: np.ndarray, targets: np.ndarray) -> tuple[
     logs = np.zeros(size)
     for r in spark.range(0, size, CONTEXTS, sc.defaultParallelism * 4).mapInPandas(normalise, "first long, logs binary").collect():
         logs[r["first"] : r["first"] + CONTEXTS] = np.frombuffer(r["logs"])
-    return model.weights, logs.astype(np.float32)
+    return model.own, model.to, logs.astype(np.float32)
 
 
 def _least(found: list[tuple[int, int, int]], size: int, enough: int) -> int:
@@ -234,6 +279,10 @@ def _score(docs: DataFrame, training: DataFrame) -> DataFrame:
     top = counts.where(wanted).toPandas().sort_values(["c", "token"], ascending=[False, True])
     frequent = dict(zip(top["token"], top["c"].tolist(), strict=True))
     vocabulary = top.loc[(top["c"] >= own) | (top["token"] == END), "token"].tolist()
+    classes = pd.Series(range(2, len(vocabulary) + 2), index=vocabulary, dtype="int64").reindex(top["token"]).fillna(1).to_numpy(np.int64)
+    # A token's place in the arrays of logs and classes; the last place is for those not broadcast.
+    places = {w.encode(): i for i, w in enumerate(frequent)}
+    known_logs = np.append(np.log10(top["c"].to_numpy(np.float64) + 0.5), 0.0)
     del top
     tail_n = n - sum(frequent[w] for w in vocabulary)
     targets = np.array([0, tail_n] + [frequent[w] for w in vocabulary], np.float64)
@@ -243,40 +292,55 @@ def _score(docs: DataFrame, training: DataFrame) -> DataFrame:
         contexts[vocabulary.index(END) + 2] = 0
     model = train(count_pairs(training, vocabulary), contexts, targets)
     tail_v = v - len(vocabulary)
-    shared = spark.sparkContext.broadcast((frequent, {w: i + 2 for i, w in enumerate(vocabulary)}, *model))
+    shared = spark.sparkContext.broadcast((places, known_logs, np.append(classes, 1), *model))
     base_norm, tail_norm = np.log10(n + 0.5 * (v + 1)), np.log10(tail_n + 0.5 * (tail_v + 1))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row of sums for each document, and a row for each of its rarer tokens."""
-        count, place, weights, norm = shared.value
-        logs = {w: np.log10(c + 0.5) for w, c in count.items()}
-
-        def told(out: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(out, columns=["doc_id", "mark", "token", "k", "row", "n_tokens", "known", "base", "model"]).astype({"doc_id": id_kind})
+        places, known_logs, classes, own, to, norm = shared.value
+        place, rare_place = places.get, len(places)
+
+        def told(docs: pd.DataFrame, words: list[bytes], ends: list[int]) -> pd.DataFrame:
+            at = np.array([place(w, rare_place) for w in words], np.int64)
+            ends = np.array(ends)
+            starts = np.append(0, ends[:-1])
+            ids = classes[at]
+            before = np.append(0, ids[:-1])
+            before[starts] = 0
+            logs_e = np.empty(len(ids))
+            for k in range(0, len(ids), PIECE):
+                i, j = before[k : k + PIECE], ids[k : k + PIECE]
+                target = to.take(j, axis=0)
+                logs_e[k : k + PIECE] = np.einsum("ij,ij->i", own.take(i, axis=0), target[:, :-1]) + target[:, -1] - norm[i]
+            total = lambda x: np.add.reduceat(x, starts)
+            base, tail = known_logs[at], ids == 1
+            n = ends - starts
+            model = total(logs_e) / np.log(10) + total(np.where(tail, base, 0.0)) - total(tail.astype(np.int64)) * tail_norm
+            rare = np.flatnonzero(at == rare_place)
+            doc = np.searchsorted(ends, rare, side="right")
+            counted = Counter(zip(doc.tolist(), map(words.__getitem__, rare.tolist()), strict=True))
+            of = np.append(np.arange(len(ends)), np.fromiter((i for i, _ in counted), np.int64, len(counted)))
+            filled = lambda x: np.append(x, np.zeros(len(counted), x.dtype))
+            return pd.DataFrame({
+                "doc_id": docs["doc_id"].iloc[of].array,
+                "mark": docs["mark"].to_numpy()[of],
+                "token": [f"\t{i}\t{m}" for i, m in zip(docs["doc_id"], docs["mark"], strict=True)] + [w.decode() for _, w in counted],
+                "k": np.append(np.zeros(len(ends), np.int64), np.fromiter(counted.values(), np.int64, len(counted))),
+                "row": filled(np.ones(len(ends), np.int64)),
+                "n_tokens": filled(n),
+                "known": filled(total((at < rare_place).astype(np.int64))),
+                "base": filled(total(base) - n * base_norm),
+                "model": filled(model),
+            }).astype({"doc_id": id_kind})
 
         for b in batches:
-            out = []
-            for doc, mark, text in zip(b["doc_id"], b["mark"], b["text"], strict=True):
-                w = tokens(text)
-                ids = np.fromiter((place.get(x, 1) for x in w), np.int64)
-                before = np.concatenate([[0], ids[:-1]])
-                logs_e = np.einsum("ij,ij->i", weights[before, :DIMENSIONS], weights[ids, DIMENSIONS:-1]) + weights[ids, -1] - norm[before]
-                model = float(logs_e.sum(dtype=np.float64) / np.log(10))
-                base, tail, known, rare = 0.0, 0.0, 0, {}
-                for x, i in zip(w, ids, strict=True):
-                    if (s := logs.get(x)) is None:
-                        rare[x] = rare.get(x, 0) + 1
-                    else:
-                        base, known = base + s, known + 1
-                        if i == 1:
-                            tail += s
-                unknown = int((ids == 1).sum())
-                out.append((doc, mark, f"\t{doc}\t{mark}", 0, 1, len(w), known, base - len(w) * base_norm, model + tail - unknown * tail_norm))
-                out += [(doc, mark, x, k, 0, 0, 0, 0.0, 0.0) for x, k in rare.items()]
-                if len(out) > FRAME:
-                    yield told(out)
-                    out = []
-            yield told(out)
+            words, ends, first = [], [], 0
+            for k, text in enumerate(b["text"]):
+                words += tokens(text)
+                ends.append(len(words))
+                if len(words) > FRAME or k == len(b) - 1:
+                    yield told(b.iloc[first : k + 1], words, ends)
+                    words, ends, first = [], [], k + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_kind = "Int64" if kind in ("bigint", "int", "smallint", "tinyint") else "object"
