@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scoring
 
@@ -151,6 +152,31 @@ def merged_value(old: Column, new: Column) -> Column:
     return F.when(F.coalesce(old, F.lit("")) == "", F.coalesce(new, old)).otherwise(old)
 
 
+#: Fields of a profile that a merge leaves alone.
+UNMERGED = ["profile_name", "generated_at"]
+
+
+def merged_struct(old: Column, new: Column, kind: T.StructType) -> tuple[Column, Column]:
+    """(merged, additions) of two profile structs of the type kind: lists take the items they lack, empty fields are
+    filled, structs are merged field by field; additions counts the items and fields taken over."""
+    fields, added = [], F.lit(0)
+    for f in kind.fields:
+        mine, theirs = old[f.name], new[f.name]
+        if f.name in UNMERGED:
+            value, n = mine, F.lit(0)
+        elif isinstance(f.dataType, T.StructType):
+            value, n = merged_struct(mine, theirs, f.dataType)
+        elif isinstance(f.dataType, T.ArrayType):
+            value = merged_list(mine, theirs)
+            n = F.size(value) - F.coalesce(F.array_size(mine), F.lit(0))
+        else:
+            empty = F.coalesce(mine.cast("string"), F.lit("")) == ""
+            value, n = F.when(empty, F.coalesce(theirs, mine)).otherwise(mine), (empty & theirs.isNotNull()).cast("int")
+        fields.append(value.alias(f.name))
+        added = added + n
+    return F.struct(*fields), added
+
+
 def score_queue(candidates: DataFrame, limit: int) -> DataFrame:
     """Each profile's newest candidates, limit at most: (profile_id, job_key, turn).
 
@@ -166,15 +192,17 @@ def score_queue(candidates: DataFrame, limit: int) -> DataFrame:
 PAIR = "struct<category:string,job_side:string,candidate_side:string,job_importance:string,candidate_priority:string>"
 
 
-def parse_match_responses(responses: DataFrame) -> DataFrame:
+def parse_match_responses(responses: DataFrame, keep: tuple[str, ...] = (), empty: bool = False) -> DataFrame:
     """One row for each pair in model outputs (batch_id, response): an array of objects with a job_key and pairs, bare or
-    in a code fence at the start. Anything else gives no rows."""
+    in a code fence at the start. Anything else gives no rows. keep names columns of responses to carry, such as the
+    profile's and the batch's id; with empty, a job without pairs gives one row of nulls."""
     text = F.btrim("response", F.lit(" \n"))
     body = F.when(F.startswith(text, F.lit("```")), F.regexp_extract(text, r"(?s)^```[a-z]*\s*(.*?)```", 1)).otherwise(text)
-    jobs = responses.where(F.startswith(F.btrim(body, F.lit(" \n")), F.lit("["))).select(F.explode(F.from_json(body, f"array<struct<job_key:bigint,match_pairs:array<{PAIR}>,total_job_requirements:int>>")).alias("j"))
+    jobs = responses.where(F.startswith(F.btrim(body, F.lit(" \n")), F.lit("["))).select(*keep, F.explode(F.from_json(body, f"array<struct<job_key:bigint,match_pairs:array<{PAIR}>,total_job_requirements:int>>")).alias("j"))
     kept = jobs.where("j.job_key is not null")
     total = F.when(F.col("j.total_job_requirements") > 0, F.col("j.total_job_requirements"))
-    return kept.select(F.col("j.job_key").alias("job_key"), total.alias("total_job_requirements"), F.inline("j.match_pairs"))
+    pairs = (F.inline_outer if empty else F.inline)("j.match_pairs")
+    return kept.select(*keep, F.col("j.job_key").alias("job_key"), total.alias("total_job_requirements"), pairs)
 
 
 def expire_jobs(jobs: DataFrame, verdicts: DataFrame, oldest: Column) -> DataFrame:
