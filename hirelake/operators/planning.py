@@ -42,6 +42,13 @@ def budgeted_queries(companies: DataFrame, budget: int, titles: Column, suffix:
     return grouped.select("profile_id", "bucket", F.concat_ws(" ", "t", F.lit("at"), F.array_join(F.col("c.company"), " OR "), F.nullif("s", F.lit(""))).alias("query"))
 
 
+def query_titles(hard_titles: Column, soft_titles: Column) -> Column:
+    """The first three hard titles, or soft ones where there are none, joined by OR; without titles Software Engineer."""
+    some = lambda c: F.when(F.size(c) > 0, c)
+    titles = F.coalesce(some(hard_titles), some(soft_titles), F.array(F.lit("Software Engineer")))
+    return F.array_join(F.slice(titles, 1, 3), " OR ")
+
+
 def keyword_queries(profiles: DataFrame) -> DataFrame:
     """(profile_id, query) of profiles (profile_id, hard_titles, soft_titles, keywords): the primary title, and the
     second soft title with the first keyword that the primary title lacks."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import feeds
+from ..sources import feeds, normalize
 from .fixtures import AS_OF, view
 from .queries import query
 
@@ -63,6 +63,34 @@ def union_sources(spark, d):
     return feeds.union_sources(normalize_board_dump(spark, d), normalize_postings_list(spark, d), normalize_search_api(spark, d), normalize_scraped_rows(spark, d))
 
 
+@query("board_raw_jobs", "SELECT seq, concat('{\"seq\":', seq, ',\"title\":\"', title, '\",\"more\":[1,2]}') AS raw_data FROM postings WHERE source = 'greenhouse'")
+def board_raw_jobs(spark, d):
+    rows = view(spark, d, "postings").where("source = 'greenhouse'")
+    item = F.struct("seq", "title", F.array(F.lit(1), F.lit(2)).alias("more"))
+    raw = feeds.raw_jobs(bodies(rows, item, lambda x: F.struct(x.alias("jobs"))))
+    return raw.select(F.get_json_object("raw_data", "$.seq").cast("long").alias("seq"), "raw_data")
+
+
+_FACTOR = "CASE pay_period WHEN 'hourly' THEN 2080 WHEN 'monthly' THEN 12 ELSE 1 END"
+_COIN = "CASE seq % 3 WHEN 0 THEN 'EUR' ELSE 'USD' END"
+
+
+@query("search_api_pay", f"SELECT seq, low * {_FACTOR} AS salary_min, nullif(pay_high * {_FACTOR}, 0) AS salary_max, CASE WHEN low IS NOT NULL OR pay_high > 0 THEN concat(CASE WHEN low IS NULL THEN 'None' ELSE concat('', low) END, '-', pay_high, ' ', {_COIN}, ' ', pay_period) END AS salary_raw FROM (SELECT *, CASE WHEN seq % 5 > 0 THEN pay_low END AS low FROM postings)")
+def search_api_pay(spark, d):
+    k = F.col("seq")
+    low, high, raw = normalize.stated_pay(F.when(k % 5 > 0, F.col("pay_low")), F.col("pay_high"), F.upper("pay_period"), F.when(k % 3 == 0, "EUR").when(k % 3 == 1, ""))
+    return view(spark, d, "postings").select("seq", low.alias("salary_min"), high.alias("salary_max"), raw.alias("salary_raw"))
+
+
+@query("scraped_rows_pay", f"SELECT seq, low AS salary_min, nullif(pay_high * {_FACTOR}, 0) AS salary_max, CASE WHEN low IS NOT NULL OR pay_high > 0 THEN concat(CASE WHEN low IS NULL THEN 'None' ELSE concat('', low) END, '-', CASE WHEN pay_high = 0 THEN 'None' ELSE concat('', pay_high * {_FACTOR}) END, ' ', {_COIN}, ' ', pay_period) END AS salary_raw FROM (SELECT *, CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN pay_low * 1000 * {_FACTOR} ELSE pay_low * {_FACTOR} END AS low FROM postings)")
+def scraped_rows_pay(spark, d):
+    """Amounts as texts: nan, with comma and dollar sign, or plain."""
+    k = F.col("seq")
+    text = F.when(k % 5 == 0, "nan").when(k % 5 == 1, F.concat(F.lit("$ "), "pay_low", F.lit(",000"))).otherwise(F.col("pay_low").cast("string"))
+    low, high, raw = normalize.scraped_amounts(text, F.col("pay_high").cast("string"), F.col("pay_period"), F.when(k % 3 == 0, "EUR"))
+    return view(spark, d, "postings").select("seq", low.alias("salary_min"), high.alias("salary_max"), raw.alias("salary_raw"))
+
+
 @query("discover_board_slugs", "SELECT DISTINCT ats, slug FROM (SELECT CASE WHEN seq % 2 = 0 THEN 'greenhouse' ELSE 'lever' END AS ats, concat('co', seq % 211) AS slug FROM postings WHERE seq % 3 < 2) WHERE slug NOT IN ('co0', 'co7')")
 def discover_board_slugs(spark, d):
     k = F.col("seq")

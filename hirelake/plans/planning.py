@@ -29,6 +29,20 @@ def budgeted_queries(spark, d):
     return planning.budgeted_queries(open_ones, BUDGET, F.lit("Data Engineer"), F.when(F.col("profile_id") % 3 == 0, "remote").otherwise(""))
 
 
+_OWN_TITLES = "CASE WHEN profile_id % 3 = 0 THEN 'A OR B OR C' WHEN profile_id % 3 = 1 THEN 'Clerk OR Analyst' ELSE 'Software Engineer' END"
+
+
+@query("budgeted_profile_queries", f"SELECT profile_id, CAST(n // size AS INTEGER) AS bucket, concat({_OWN_TITLES}, ' at ', string_agg(company, ' OR ' ORDER BY n), CASE profile_id % 4 WHEN 0 THEN ' remote' WHEN 1 THEN ' hybrid' ELSE '' END) AS query FROM (SELECT profile_id, company, row_number() OVER (PARTITION BY profile_id ORDER BY place) - 1 AS n, (count(*) OVER (PARTITION BY profile_id) + {BUDGET - 1}) // {BUDGET} AS size FROM ({COVERED}) WHERE NOT has_board) GROUP BY profile_id, n // size")
+def budgeted_profile_queries(spark, d):
+    """Titles from each profile: hard ones first, three at most; the kinds of work remote and hybrid are named."""
+    k = F.col("profile_id")
+    hard = F.when(k % 3 == 0, F.array(*map(F.lit, "ABCD"))).otherwise(F.array().cast("array<string>"))
+    soft = F.when(k % 3 == 1, F.array(F.lit("Clerk"), F.lit("Analyst")))
+    kind = F.when(k % 4 == 0, "remote").when(k % 4 == 1, "hybrid").otherwise("on-site")
+    suffix = F.when(kind.isin("remote", "hybrid"), kind).otherwise("")
+    return planning.budgeted_queries(board_coverage(spark, d).where("not has_board"), BUDGET, planning.query_titles(hard, soft), suffix)
+
+
 @query("keyword_queries", "SELECT profile_id, unnest(list_filter([p, CASE WHEN profile_id % 5 > 0 THEN concat('Analyst ', CASE WHEN contains(p, 'Data') THEN 'spark' ELSE 'DATA' END) END], lambda q: q IS NOT NULL)) AS query FROM (SELECT DISTINCT profile_id, CASE profile_id % 3 WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Nurse' ELSE 'Clerk' END AS p FROM wishes)")
 def keyword_queries(spark, d):
     k = F.col("profile_id")

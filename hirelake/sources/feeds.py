@@ -24,6 +24,12 @@ def day(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))).cast("string")
 
 
+def raw_jobs(dumps: DataFrame) -> DataFrame:
+    """(slug, place, raw_data) of company boards (slug, body): each job's own JSON text, with all its fields, by its place in the list."""
+    jobs = F.from_json("body", "jobs array<string>")["jobs"]
+    return dumps.select("slug", F.posexplode(jobs).alias("place", "raw_data"))
+
+
 def board_dump(dumps: DataFrame) -> DataFrame:
     """Company boards (slug, body), body being an object with a list of jobs; a broken body gives no rows."""
     j = dumps.select("slug", F.explode(F.from_json("body", BOARD)["jobs"]).alias("j")).select("slug", "j.*")

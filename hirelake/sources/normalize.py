@@ -67,6 +67,24 @@ def scraped_pay(amount: Column, period: Column) -> Column:
     return annualize(F.when(~F.isnan(plain), plain), F.lower(F.coalesce(period, F.lit(""))))
 
 
+def stated_pay(low: Column, high: Column, period: Column, currency: Column) -> tuple[Column, Column, Column]:
+    """(salary_min, salary_max, salary_raw) of a search service's numbers: yearly amounts (null and zero: null), and the
+    amounts as stated with their currency (null: USD) and period; without either amount there is no text."""
+    low, high, of = low.cast("double"), high.cast("double"), F.lower(F.coalesce(period, F.lit("")))
+    whole = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("None"))
+    some = (F.coalesce(low, F.lit(0.0)) != 0) | (F.coalesce(high, F.lit(0.0)) != 0)
+    text = F.btrim(F.concat(whole(low), F.lit("-"), whole(high), F.lit(" "), F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD")), F.lit(" "), of))
+    return annualize(low, of), annualize(high, of), F.when(some, text)
+
+
+def scraped_amounts(low: Column, high: Column, interval: Column, currency: Column) -> tuple[Column, Column, Column]:
+    """(salary_min, salary_max, salary_raw) of a scraper's texts; the text shows the yearly amounts."""
+    low, high = scraped_pay(low, interval), scraped_pay(high, interval)
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    text = F.btrim(F.concat(shown(low), F.lit("-"), shown(high), F.lit(" "), F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD")), F.lit(" "), F.coalesce(interval, F.lit(""))))
+    return low, high, F.when(low.isNotNull() | high.isNotNull(), text)
+
+
 def fresh_since(as_of: Column, retention_days: int, last_run: Column) -> Column:
     """Cutoff of a profile: its last run, but retention_days ago at most; a last run that is no time falls back to that."""
     oldest = F.date_sub(as_of, retention_days).cast("timestamp")
