@@ -15,6 +15,7 @@ an empty table gives no rows; columns other than those named are never read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
@@ -35,8 +36,8 @@ CLUSTER = 1e-3
 #: Solves of an inverse iteration.
 SOLVES = 4
 EPS = float(np.finfo(float).eps)
-#: Vectors that a task multiplies at once.
-BLOCK = 4096
+#: Vectors that a task multiplies at once, and that make it worth a task of its own.
+BLOCK, TASK_VECTORS = 4096, 65536
 
 
 # ---- eigenpairs of a symmetric matrix, on the driver
@@ -213,6 +214,8 @@ def fit_whitening(vectors: DataFrame, components: int = COMPONENTS) -> Whitening
     n, width = fit.agg(F.count("*"), F.max(F.size("x"))).first()
     if not n:
         return None
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_VECTORS))
+    fit = fit.coalesce(tasks)  # what a task tells is small against what it reads
     sums = _exact_sums(fit, width)
     middle, upper = centre(n, sums), np.triu_indices(width)
     half = _totals(fit, width, lambda x: ((c := x - middle).T @ c)[upper]) / n
