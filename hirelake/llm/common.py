@@ -87,6 +87,18 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within the block, an action's shuffle files go when it ends; for results that are written and read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def short_plans(spark: SparkSession) -> Iterator[None]:
     """Within the block, descriptions of plans show the first field of each list alone and end early; for projections
