@@ -50,23 +50,20 @@ def record_verdicts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.unionByName(one)
 
 
-def apply_user_actions(verdicts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Verdicts after a batch of actions (profile_id, job_key, event_id, ts, action, value), with notes and touched.
+def valid_actions(actions: DataFrame) -> DataFrame:
+    """The actions without those that set a status which users can't set."""
+    return actions.where((F.col("action") != "status") | F.coalesce(F.col("value").isin(USER_STATUSES), F.lit(False)))
 
-    status sets a valid status and the stamp, save toggles, hide hides and stamps, promote shows and clears the stamp,
-    notes overwrite. Each field depends on its last action alone, so the batch pre-aggregates before the shuffle.
-    touched: an action fell on a row that was or becomes new, whose profile then needs a rebalance.
-    An action is one profile's; only a log without profile_id speaks of a job for all of them.
-    """
+
+def fold_actions(actions: DataFrame) -> DataFrame:
+    """What a log of actions says of each key: the last word of each field by event time and id, and counts."""
     keys = [k for k in ("profile_id", "job_key") if k in actions.columns]
-    done = F.col("action")
-    valid = actions.where((done != "status") | F.col("value").isin(USER_STATUSES))
-    at = F.struct("ts", "event_id")
+    done, at = F.col("action"), F.struct("ts", "event_id")
 
     def last(value: Column, *kinds: str) -> Column:
         return F.max(F.when(done.isin(*kinds), F.struct(at.alias("at"), value.alias("v"))))["v"]
 
-    per_job = valid.groupBy(*keys).agg(
+    return valid_actions(actions).groupBy(*keys).agg(
         last(F.col("value"), "status").alias("_status"),
         last(F.when(done == "hide", True).otherwise(False), "hide", "promote").alias("_hidden"),
         last(F.when(done != "promote", F.to_date("ts")), "status", "hide", "promote").alias("_stamp"),
@@ -75,9 +72,14 @@ def apply_user_actions(verdicts: DataFrame, actions: DataFrame) -> DataFrame:
         last(F.col("value"), "notes").alias("_notes"),
         F.count_if(done != "notes").alias("_moves"),
     )
+
+
+def with_folds(verdicts: DataFrame, folds: DataFrame) -> DataFrame:
+    """Verdicts after what fold_actions or the stream's state says of them, with notes and touched."""
+    keys = [k for k in ("profile_id", "job_key") if k in folds.columns]
     status = F.coalesce("_status", "status")
     notes = F.coalesce("_notes", "notes") if "notes" in verdicts.columns else F.col("_notes")
-    return verdicts.join(per_job, keys, "left").select(
+    return verdicts.join(folds, keys, "left").select(
         "profile_id",
         "job_key",
         status.alias("status"),
@@ -89,11 +91,21 @@ def apply_user_actions(verdicts: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def after_actions(verdicts: DataFrame, actions: DataFrame, top_n: int, least: float) -> DataFrame:
-    """profile_id, job_key, status, hidden, saved, status_updated, notes after a batch of actions and, for each profile
-    that it touched, one rebalance of what is shown; verdicts also hold scores and notes of the match."""
+def apply_user_actions(verdicts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Verdicts after a batch of actions (profile_id, job_key, event_id, ts, action, value), with notes and touched.
+
+    status sets a valid status and the stamp, save toggles, hide hides and stamps, promote shows and clears the stamp,
+    notes overwrite. Each field depends on its last action alone, so the batch pre-aggregates before the shuffle.
+    touched: an action fell on a row that was or becomes new, whose profile then needs a rebalance.
+    An action is one profile's; only a log without profile_id speaks of a job for all of them.
+    """
+    return with_folds(verdicts, fold_actions(actions))
+
+
+def rebalanced(folded: DataFrame, verdicts: DataFrame, top_n: int, least: float) -> DataFrame:
+    """folded verdicts with one rebalance of what is shown for each profile that an action touched; verdicts also hold
+    scores and notes of the match."""
     key = ["profile_id", "job_key"]
-    folded = apply_user_actions(verdicts, actions)
     touched = folded.where("touched").select("profile_id").distinct()
     state = folded.join(verdicts.select(*key, "match_notes", "manager_score", "candidate_score", "match_score"), key)
     shown = scoring.rebalance_visible(state.join(touched, "profile_id", "left_semi"), top_n, least)
@@ -103,6 +115,12 @@ def after_actions(verdicts: DataFrame, actions: DataFrame, top_n: int, least: fl
     return out.select(*key, "status", F.coalesce("_hidden", "hidden").alias("hidden"), "saved", stamp.alias("status_updated"), "notes")
 
 
+def after_actions(verdicts: DataFrame, actions: DataFrame, top_n: int, least: float) -> DataFrame:
+    """profile_id, job_key, status, hidden, saved, status_updated, notes after a batch of actions and, for each profile
+    that it touched, one rebalance of what is shown."""
+    return rebalanced(apply_user_actions(verdicts, actions), verdicts, top_n, least)
+
+
 #: Profile fields that hold whole numbers, and truth values; texts that stand for yes.
 NUMBER_FIELDS, TRUTH_FIELDS, YES = ["salary_min", "salary_max", "years_experience_total", "years_experience_primary"], ["has_clearance"], ["true", "True", "yes", "1"]
 

@@ -10,7 +10,7 @@ from ..functions.clearance import requires_clearance
 from ..operators import country, lifecycle, location, prefilter, scoring
 from ..streaming import actions as action_stream
 from ..streaming.landing import shared_folder
-from .fixtures import view
+from .fixtures import derive, view
 from .places import _TABLE
 from .queries import LEAST, TOP, _STOP, query
 from .texts import PLACED, READ_LOW, seekers
@@ -139,13 +139,10 @@ def after_actions(spark, d):
 @query("stream_actions", f"SELECT * FROM ({AFTER})")
 def stream_actions(spark, d):
     """The state that the stream of the events leaves; it has to equal the batch's."""
-    from .fixtures import derive
-
     folder, path = shared_folder(spark), f"{d}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
-    table = f"{folder}/actions"
-    action_stream.start_actions(events, view(spark, d, "shared_verdicts"), table, f"{folder}/progress", TOP, LEAST, lambda b: derive(b.sparkSession, "own_actions", {"events": b})).awaitTermination()
-    return _dated(action_stream.latest(spark, table))
+    action_stream.start_actions(derive(spark, "own_actions", {"events": events}), f"{folder}/changes", f"{folder}/progress").awaitTermination()
+    return _dated(action_stream.current(spark, view(spark, d, "shared_verdicts"), f"{folder}/progress", TOP, LEAST))
 
 
 @query("apply_profile_edits", """SELECT profile_id, 'skills' AS field, array_to_string(list_sort(list(value)), ',') AS value FROM (SELECT profile_id, value, arg_max(action, event_id) AS last FROM edits WHERE field = 'skills' GROUP BY 1, 2) WHERE last = 'add' GROUP BY 1
