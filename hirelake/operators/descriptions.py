@@ -1,6 +1,6 @@
 """Postings whose descriptions are short of content: found, recorded, filled in again, and taken back.
 
-Descriptions are read once by functions.sections.text_features; the columns of its result decide. Null titles,
+Descriptions are read by functions.sections, in built-in functions; the columns of its result decide. Null titles,
 companies, links and descriptions count as empty.
 """
 
@@ -39,12 +39,11 @@ def validate_descriptions(rows: DataFrame, stored: DataFrame, pages: DataFrame)
     stored (job_key, description) holds earlier copies, pages (url, html) what links lead to; only rows whose own text
     and stored copy fall short look a page up.
     """
-    judged = lambda c: complete(text_features(c))
-    known = stored.groupBy("job_key").agg(F.min("description").alias("_old")).where(judged(F.col("_old"))).select("job_key", F.lit(True).alias("_stored"))
-    told = rows.where(_filled("title") & _filled("company")).join(known, "job_key", "left").withColumn("_ok", F.col("_stored").isNotNull() | judged(F.col("description")))
+    known = stored.groupBy("job_key").agg(F.min("description").alias("_old")).where(complete("_old")).select("job_key", F.lit(True).alias("_stored"))
+    told = rows.where(_filled("title") & _filled("company")).join(known, "job_key", "left").withColumn("_ok", F.col("_stored").isNotNull() | complete("description"))
     good = told.where("_ok").withColumn("outcome", F.when(F.col("_stored"), "stored").otherwise("ok"))
     page = pages.where("url is not null").groupBy("url").agg(F.min("html").alias("_html"))
-    short = told.where("not _ok").join(page, (F.col("apply_url") == F.col("url")) & _filled("apply_url"), "left").withColumn("_page", F.coalesce(judged(F.col("_html")), F.lit(False)))
+    short = told.where("not _ok").join(page, (F.col("apply_url") == F.col("url")) & _filled("apply_url"), "left").withColumn("_page", complete("_html"))
     filled = short.withColumns({"description": F.when(F.col("_page"), F.col("_html")).otherwise(F.col("description")), "outcome": F.when(F.col("_page"), "fetched").otherwise(MISSING)})
     names = [*rows.columns, "outcome"]
     return good.select(names).unionByName(filled.select(names))
@@ -61,8 +60,8 @@ def record_missing_info(verdicts: DataFrame, judged: DataFrame) -> DataFrame:
 
 def filter_completeness(jobs: DataFrame) -> DataFrame:
     """jobs with complete: an extract of LEAST_CHARS characters or more (within its limit) that can be scored."""
-    found = text_features(F.col("description"))
-    return jobs.withColumn("_found", found).withColumn("complete", (F.char_length("_found.extract") >= LEAST_CHARS) & F.col("_found.scoreable")).drop("_found")
+    enough = F.get(F.transform(F.array(text_features("description")), lambda f: (F.char_length(f["extract"]) >= LEAST_CHARS) & f["scoreable"]), F.lit(0))
+    return jobs.withColumn("complete", enough)
 
 
 def recover_missing_info(verdicts: DataFrame, jobs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pay
 from ..functions.clearance import requires_clearance
-from ..functions.sections import text_features
+from ..functions.sections import sanitized, text_features
 from ..operators import descriptions
 from .fixtures import FILLER, view
 from .queries import query
@@ -37,7 +37,7 @@ def seekers(spark, d) -> DataFrame:
 
 @query("sanitize_html", f"SELECT seq, {PLAIN} AS plain FROM described")
 def sanitize_html(spark, d):
-    return view(spark, d, "described").select("seq", text_features("description")["plain"].alias("plain"))
+    return view(spark, d, "described").select("seq", sanitized(F.col("description")).alias("plain"))
 
 
 @query("extract_sections", f"SELECT seq, {EXTRACT} AS extract, {T} IN (0, 5) AS has_work, {T} IN (2, 7) AS has_reqs, {T} IN (0, 2) AS has_comp FROM described")

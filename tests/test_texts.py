@@ -1,6 +1,7 @@
-"""Unit cases of descriptions, pay, clearance, countries, edits and the action stream."""
+"""Unit cases of descriptions, pay, clearance, countries and edits."""
 
-import datetime
+import html
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 from hirelake.functions import clearance, pay, sections
 from hirelake.operators import country, descriptions, lifecycle, prefilter, scoring
 from hirelake.sources import normalize
-from hirelake.streaming import actions as stream
 
 BODY = "Keep the lights on. " * 12
 
@@ -17,20 +17,45 @@ BODY = "Keep the lights on. " * 12
     ("text", "expected"),
     [(None, ""), ("", ""), ("a &amp;amp;lt; b", "a < b"), ("<p>x</p><script>y</script>z", "x\nz"), ("a\\*b\\_c", "a*b_c"), ("a<br/>\n\n\n\nb", "a\n\nb"), ("x  \ty", "x y")],
 )
-def test_sanitize(text, expected):
-    assert sections.sanitize(text) == expected
+def test_sanitize(spark, text, expected):
+    assert one(spark, text, lambda c: sections.sanitized(c)) == expected
 
 
-def test_sections_skip_company_text_and_keep_pay():
-    text = f"About us\n\nWe exist.\n\nRequirements\n{BODY}\n\nEqual opportunity employer\n\n$90,000 - $120,000"
-    extract, found = sections.sections(text)
-    assert found == {"reqs", "comp"} and "We exist" not in extract and "Equal" not in extract and extract.endswith("$90,000 - $120,000")
-    long = "Requirements\n" + "x" * 5000 + "\n\nBenefits\n" + "y" * 5000
-    extract, _ = sections.sections(long)
-    assert len(extract) == sections.MAX_CHARS + 1 and extract.count("y") == sections.PAY_CHARS - len("Benefits\n")
-    head, none = sections.sections(" ".join(f"word{i}" for i in range(2000)))
-    assert not none and "\n...\n" in head
-    assert sections.features(None) == ("", "", 0, False, False, False, False)
+def one(spark, text, of):
+    return spark.createDataFrame([(text,)], "text string").select(of(F.col("text")).alias("x")).first()["x"]
+
+
+def test_references_equal_the_standard_library(spark):
+    rng = random.Random(3)
+    parts = ["&amp;", "&lt;", "&nbsp;", "&#38;", "&#x26;", "&#97;", "&amp", "&notit;", "&mdash;", "&#0;", "&#128;", "&#129;", "&#x110000;", "&#xD800;", "&#xFFFE;", "&#127;", "&bogus;", "&&num;38;", "amp;", "lt;", "#", "&", "&#13;", "&#11;", "&#x1F600;", "&AMP;", "&copy", "&frac12", "&#99999999999;", "&#;", "&#x;", "&NotEqualTilde;", ";", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(1500)] + ["&" + "amp;" * 40 + "lt;", "&amp" * 30, "&#38" * 20 + "num;38;" * 9]
+    got = {r["t"]: r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", sections.decoded(F.col("t")).alias("x")).collect()}
+    for text in texts:
+        plain = text
+        while (now := html.unescape(plain)) != plain:
+            plain = now
+        assert got[text] == plain, text
+
+
+def test_sections_skip_company_text_and_keep_pay(spark):
+    read = lambda t, **k: one(spark, t, lambda c: sections.text_features(c, **k))
+    f = read(f"About us\n\nWe exist.\n\nRequirements\n{BODY}\n\nEqual opportunity employer\n\n$90,000 - $120,000")
+    assert (f.has_work, f.has_reqs, f.has_comp, f.scoreable) == (False, True, True, True)
+    assert "We exist" not in f.extract and "Equal" not in f.extract and f.extract.endswith("$90,000 - $120,000")
+    long = read("Requirements\n" + "x" * 5000 + "\n\nBenefits\n" + "y" * 5000)
+    assert len(long.extract) == sections.MAX_CHARS + 1 and long.extract.count("y") == sections.PAY_CHARS - len("Benefits\n") and long.full_chars > 5000
+    head = read(" ".join(f"word{i}" for i in range(2000)))
+    assert not (head.has_work or head.has_reqs or head.has_comp or head.scoreable) and "\n...\n" in head.extract
+    assert tuple(read(None)) == tuple(read("")) == ("", "", 0, False, False, False, False)
+    glued = read("Intro line\n**REQUIREMENTS**\nuse tools\n**What you\u2019ll do**  \nbuild\n# Pay range\nfair")
+    assert glued.extract == "**REQUIREMENTS**\nuse tools\n**What you\u2019ll do**  \nbuild\n# Pay range\nfair".replace("do**  ", "do**")
+    assert not read("Please sign in to view\n\nRequirements\n" + BODY).scoreable
+
+
+@pytest.mark.parametrize("kind", sections.HEADERS)
+def test_every_wording_has_its_needed_word(kind):
+    words = [sections._needed(w) for w in sections.HEADERS[kind] if not w.startswith("^")]
+    assert all(len(w) > 2 for w in words)
 
 
 def test_pay_candidates_and_choice(spark):
@@ -94,20 +119,3 @@ def test_list_edits_keep_their_order(spark):
     log = spark.createDataFrame([(1, 3, "skills", "add", "a"), (1, 1, "skills", "add", "b"), (1, 2, "skills", "remove", "x"), (1, 4, "skills", "add", "a")], "profile_id int, event_id long, field string, action string, value string")
     before = spark.createDataFrame([(1, "skills", ["x", "y", "x"]), (2, "skills", None)], "profile_id int, field string, items array<string>")
     assert {r["profile_id"]: r["items"] for r in lifecycle.apply_list_edits(before, log).collect()} == {1: ["y", "b", "a"], 2: []}
-
-
-def test_action_stream_equals_the_batch(spark, tmp_path):
-    at = lambda h: datetime.datetime(2024, 1, 2, h)
-    verdicts = spark.createDataFrame([(p, j, "new", j % 2 == 0, None, None, "fits", 100 + j, 100, 0.5) for p in (1, 2) for j in range(4)], "profile_id int, job_key int, status string, hidden boolean, saved boolean, status_updated date, match_notes string, manager_score int, candidate_score int, match_score double")
-    schema = "event_id long, ts timestamp, profile_id int, job_key int, action string, value string"
-    parts = [[(1, at(3), 1, 3, "hide", ""), (2, at(4), 1, 2, "status", "applied")], [(3, at(1), 1, 3, "promote", ""), (4, at(5), 2, 1, "save", ""), (1, at(3), 1, 3, "hide", "")]]
-    source, table, progress = (str(tmp_path / x) for x in ("in", "table", "progress"))
-    for part in parts:
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
-        stream.start_actions(spark.readStream.schema(schema).parquet(source), verdicts, table, progress, 2, 0.4).awaitTermination()
-    log = spark.createDataFrame(list({e[0]: e for p in parts for e in p}.values()), schema)
-    batch = lifecycle.after_actions(verdicts, log, 2, 0.4)
-    key = lambda df: sorted(map(str, df.select(batch.columns).collect()))
-    assert key(stream.latest(spark, table)) == key(batch)
-    other = {r["job_key"]: r["hidden"] for r in batch.where("profile_id = 2").collect()}
-    assert other[3] is False  # one user's action leaves the other's verdict alone
