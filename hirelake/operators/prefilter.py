@@ -90,14 +90,24 @@ def judge(pairs: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     low = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(x))
     start = F.substring(text("description"), 1, SNIPPET)
+    reason = reason_text(
+        excluded_company(F.col("company"), F.transform(low("company_exclude"), lambda x: F.btrim(x))),
+        first_contained(F.concat_ws(" ", text("company"), start), low("exclude_industries")),
+        first_contained(F.concat_ws(" ", text("company"), text("title"), start), low("exclude_company_types")),
+        excluded_title(text("title"), F.transform(low("exclude_titles"), lambda x: F.btrim(x))),
+    )
+    return pairs.withColumns({"reason": reason, "title_ok": title_matches(F.col("title"), low("job_titles"))}).drop("_abroad", "_far")
+
+
+def reason_text(company: Column, industry: Column, kind: Column, phrase: Column) -> Column:
+    """Text of the first rule that fails, given whether the company is excluded and the phrases that the industry, the
+    company-type and the title rule found; the other rules read the columns of the pair, _abroad and _far included."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
     floor = F.coalesce("hard_salary_min", F.lit(0))
     least = F.coalesce("salary_min", pay.choose(F.col("pay"), F.col("preferred_locations"))["lo"])
-    industry = first_contained(F.concat_ws(" ", text("company"), start), low("exclude_industries"))
-    kind = first_contained(F.concat_ws(" ", text("company"), text("title"), start), low("exclude_company_types"))
-    phrase = excluded_title(text("title"), F.transform(low("exclude_titles"), lambda x: F.btrim(x)))
     remote = F.lower(F.coalesce("remote_type", F.lit("unknown")))
-    reason = F.coalesce(
-        F.when(excluded_company(F.col("company"), F.transform(low("company_exclude"), lambda x: F.btrim(x))), F.concat(F.lit("Company '"), text("company"), F.lit("' is on the exclude list"))),
+    return F.coalesce(
+        F.when(company, F.concat(F.lit("Company '"), text("company"), F.lit("' is on the exclude list"))),
         F.when((F.col("has_clearance") == F.lit(False)) & F.col("needs_clearance"), "Job requires federal security clearance but candidate has none"),
         F.when(wrong_remote_type(F.col("remote_type"), F.col("hard_remote")), F.concat(F.lit("Remote type '"), remote, F.lit("' does not match required '"), F.lower("hard_remote"), F.lit("'"))),
         F.when(below_floor(least, floor), F.concat(F.lit("Salary $"), F.format_number(least, 0), F.lit(" is below required minimum $"), F.format_number(floor, 0))),
@@ -107,7 +117,6 @@ def judge(pairs: DataFrame) -> DataFrame:
         F.when(F.col("_abroad"), F.concat(F.lit("Location '"), text("location"), F.lit("' is outside required country"))),
         F.when(F.col("_far"), F.concat(F.lit("Job in '"), text("location"), F.lit("' is outside allowed locations and does not offer remote"))),
     )
-    return pairs.withColumns({"reason": reason, "title_ok": title_matches(F.col("title"), low("job_titles"))}).drop("_abroad", "_far")
 
 
 def filter_verdicts(judged: DataFrame) -> DataFrame:

@@ -113,6 +113,20 @@ SELECT event_id, ts, user_id % 3 + 1 AS profile_id, event_id % 300 * 5 AS job_ke
 SELECT user_id AS profile_id, event_id, CASE event_type WHEN 'view' THEN 'skills' WHEN 'click' THEN 'skills' WHEN 'signup' THEN 'salary_min' WHEN 'purchase' THEN 'hard_requirements.has_clearance' ELSE 'work_style' END AS field,
   CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'remove' ELSE 'set' END AS action, CASE event_type WHEN 'view' THEN concat('s', event_id % 3) WHEN 'click' THEN concat('s', event_id % 3) WHEN 'signup' THEN CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN 'much' ELSE concat('', event_id) END WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN '' WHEN 2 THEN 'true' ELSE 'no' END ELSE CASE event_id % 3 WHEN 0 THEN 'null' ELSE 'remote' END END AS value
 FROM events""",
+    "openings": f"""
+SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 101 = 0 THEN '' ELSE concat('Company ', o_custkey % 211) END AS company,
+  CASE WHEN o_orderkey % 997 = 0 THEN '' ELSE concat('Craft', o_orderkey % 97, ' Trade', o_custkey % 89, CASE WHEN o_orderkey % 5 = 0 THEN ' Lead' ELSE '' END) END AS title,
+  {_item(LOCATIONS, "o_orderkey")} AS location, {_item("remote|hybrid|on-site|unknown", "(o_orderkey + o_custkey)")} AS remote_type, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 60000 + (o_orderkey % 90) * 1000 END AS salary_min,
+  concat('Field', o_orderkey % 53, ' work in area', o_custkey % 61, CASE WHEN o_orderkey % 16 = 13 THEN '. A secret clearance is needed.' WHEN o_orderkey % 7 = 0 THEN concat('. Pay: $', 60 + o_orderkey % 90, ',000 to $', 80 + o_orderkey % 90, ',000.') ELSE '. Steady.' END) AS description
+FROM orders""",
+    "applicants": f"""
+SELECT c_custkey AS profile_id, concat('company ', c_custkey % 211, ' of the north|', CASE WHEN c_custkey % 9 = 0 THEN 'company 20' ELSE 'no such firm' END) AS company_exclude,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 4 = 1 END AS has_clearance, {_item("remote|hybrid|flexible||", "c_custkey")} AS hard_remote, c_custkey % 3 * 40000 AS hard_salary_min,
+  concat('field', c_custkey % 53) AS exclude_industries, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE concat('area', c_custkey % 61, '|trade', c_custkey % 13) END AS exclude_company_types,
+  CASE WHEN c_custkey % 3 = 0 THEN 'lead' ELSE concat('trade', c_custkey % 89) END AS exclude_titles, {_item("us|canada|uk||", "c_custkey")} AS countries, {_item("tx|toronto|new mexico|||", "c_custkey")} AS areas,
+  CASE WHEN c_custkey % 500 = 7 THEN '' ELSE concat('Craft', c_custkey % 97, ' Trade', c_custkey * 7 % 89, '|Trade', c_custkey * 3 % 89, ' Lead') END AS job_titles, '' AS preferred_locations,
+  {_item("Fair pay|Good team|Remote work|Salary over 100k||", "c_custkey")} AS must_haves, {_item("Tea|Bikes|Books||", "c_custkey")} AS nice_to_haves, {_item("remote|hybrid|flexible|unknown|on-site|", "c_custkey")} AS work_style, c_custkey % 2 * 90000 AS pay_wish
+FROM customer""",
     "usage": "SELECT event_type AS service, CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 15 ELSE 31 END AS reset_day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
@@ -127,7 +141,7 @@ def derive(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> Data
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived view over the tables of sf_dir."""
-    used = [t for t in ("orders", "lineitem", "supplier", "events", "pages") if f"FROM {t}" in VIEWS[name]]
+    used = [t for t in ("orders", "lineitem", "supplier", "events", "pages", "customer") if f"FROM {t}" in VIEWS[name]]
     return derive(spark, name, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
