@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Statuses in the interviewing tab; statuses that no user has acted on; tabs besides the statuses.
@@ -107,6 +107,28 @@ def search_mode(finished: Column, as_of: Column, override: Column, force: Column
     return F.when(full, "full").otherwise("incremental"), F.when(full, FULL_HOURS).otherwise(F.least(hours + OVERLAP, F.lit(FULL_HOURS))).cast("long")
 
 
+#: Seconds of a slice of the run log.
+SLICE = 30 * 86_400
+
+
+def last_success(runs: DataFrame) -> DataFrame:
+    """runs (profile_id, run_id, started, finished, status) with last_finished: the finished of the profile's latest
+    successful run before each run, by started and run_id; null where there is none, or where that run has none.
+
+    An as-of join of the log with itself: slices of time are searched each for itself, and what each slice ends with is
+    carried to the later ones, so a profile's whole log is never sorted as one group. Rows without a start come first.
+    """
+    at = F.struct("started", "run_id")
+    ended = F.when(F.col("status") == "success", F.struct(F.col("finished").alias("f")))
+    sliced = runs.withColumn("_slice", F.coalesce(F.floor(F.unix_timestamp("started") / SLICE), F.lit(-(1 << 62))))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.last(ended, ignorenulls=True).over(before("profile_id", "_slice").orderBy("started", "run_id"))
+    ends = sliced.groupBy("profile_id", "_slice").agg(F.max_by(ended, F.when(ended.isNotNull(), at)).alias("_end"))
+    carried = ends.select(F.col("profile_id").alias("_who"), F.col("_slice").alias("_then"), F.last("_end", ignorenulls=True).over(before("profile_id").orderBy("_slice")).alias("_carried"))
+    same = F.col("profile_id").eqNullSafe(F.col("_who")) & (F.col("_slice") == F.col("_then"))
+    return sliced.withColumn("_own", own).join(carried, same, "left").select(*runs.columns, F.coalesce("_own", "_carried")["f"].alias("last_finished"))
+
+
 def cleared(jobs: DataFrame, verdicts: DataFrame, runs: DataFrame, profile_id: int | None) -> DataFrame:
     """(name, n): rows that clearing a profile removes from verdicts, runs and jobs (those that no verdict of another
     profile refers to); without a profile everything goes."""

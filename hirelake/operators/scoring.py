@@ -86,6 +86,14 @@ def rebalance_visible(verdicts: DataFrame, top_n: int, least: float) -> DataFram
     return slim.join(top, ["profile_id", "job_key"], "left").select("profile_id", "job_key", F.col("rank").isNull().alias("hidden"), "rank", F.when(F.col("hidden") & F.col("rank").isNotNull(), "promoted").when(~F.col("hidden") & F.col("rank").isNull(), "demoted").otherwise("same").alias("moved"))
 
 
+def rebalanced_state(verdicts: DataFrame, top_n: int, least: float) -> DataFrame:
+    """All verdicts (profile_id, job_key, hidden, rank, status_updated) after a rebalance: the shown have their new rank,
+    the others keep theirs, and a row that was shown and no longer is loses its stamp, so that it isn't taken for dismissed."""
+    moved = rebalance_visible(verdicts, top_n, least).select("profile_id", "job_key", F.col("hidden").alias("_hidden"), F.col("rank").alias("_rank"), "moved")
+    stamp = F.when(F.coalesce(F.col("moved") == "demoted", F.lit(False)), F.lit(None)).otherwise(F.col("status_updated"))
+    return verdicts.join(moved, ["profile_id", "job_key"], "left").select("profile_id", "job_key", F.coalesce("_hidden", "hidden").alias("hidden"), F.coalesce("_rank", "rank").alias("rank"), stamp.alias("status_updated"))
+
+
 def count_preferences(p: Column) -> Column:
     """How many preferences a profile (struct of must_haves, nice_to_haves, salary_min, salary_max, work_style,
     preferred_locations, hard_locations) may be matched on: at least 1."""

@@ -127,13 +127,20 @@ SELECT c_custkey AS profile_id, concat('company ', c_custkey % 211, ' of the nor
   CASE WHEN c_custkey % 500 = 7 THEN '' ELSE concat('Craft', c_custkey % 97, ' Trade', c_custkey * 7 % 89, '|Trade', c_custkey * 3 % 89, ' Lead') END AS job_titles, '' AS preferred_locations,
   {_item("Fair pay|Good team|Remote work|Salary over 100k||", "c_custkey")} AS must_haves, {_item("Tea|Bikes|Books||", "c_custkey")} AS nice_to_haves, {_item("remote|hybrid|flexible|unknown|on-site|", "c_custkey")} AS work_style, c_custkey % 2 * 90000 AS pay_wish
 FROM customer""",
+    "stored_verdicts": f"""
+SELECT o_custkey AS profile_id, o_orderkey AS job_key, CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN '[Hard filter] x' WHEN o_orderkey % 11 = 0 THEN '[Title filter] y' ELSE 'fits' END AS match_notes,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('', DATE '{AS_OF}' - CAST(o_orderkey % 60 AS INT)) END AS date_posted, DATE '{AS_OF}' - CAST(o_orderkey % 45 AS INT) AS date_found,
+  CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'no json {{' WHEN 2 THEN '{{"category":"skill","job_side":"x"}}' WHEN 3 THEN '[]' WHEN 4 THEN '[1, "skill", null, {{"category":"Domain","job_side":"5 years","job_importance":"required"}}]'
+   ELSE concat('[{{"category":"', {_item("skill|Experience|domain", "o_orderkey")}, '","job_side":"', {_item("SQL|  |Rust|", "o_custkey")}, '","candidate_side":', CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"knows it"' END, ',"job_importance":"', {_item("required|preferred|nice_to_have|odd|", "(o_orderkey + o_custkey)")}, '"}},',
+     '{{"category":"', {_item("compensation|equity|benefits|work_arrangement|culture_growth|weather", "o_custkey")}, '","job_side":"', {_item("Not disclosed|Free tea|120k", "(o_orderkey + o_custkey)")}, '"', CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE ',"candidate_side":"wants it"' END, ',"candidate_priority":"', {_item("must_have|nice_to_have|", "o_orderkey")}, '"}}, {{"category":"skill","job_side":"Go","candidate_side":"Go","job_importance":"required"}}]') END AS pairs_json
+FROM orders""",
     "usage": "SELECT event_type AS service, CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 15 ELSE 31 END AS reset_day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
 
 def derive(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
     """The derived view over the given tables."""
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}") if tables else VIEWS[name]
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(sql, **tables) if tables else spark.sql(sql)

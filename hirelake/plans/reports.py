@@ -109,6 +109,22 @@ def search_mode_choices(spark, d):
     return last.select("profile_id", mode.alias("mode"), hours.alias("hours"))
 
 
+_ORDERED = f"SELECT *, run_id - hours_ago * 1000000000000 AS o, {_ENDED} AS finished FROM runs"
+_EACH = f"SELECT a.profile_id, a.run_id, a.profile_id % 3 AS own, CASE WHEN s.finished IS NULL OR s.finished = 'broken' THEN 9999 ELSE date_diff('hour', CAST(s.finished AS TIMESTAMP), CAST({NOW} AS TIMESTAMP) - to_hours(CAST(a.hours_ago AS INTEGER))) END AS h FROM ({_ORDERED}) a ASOF LEFT JOIN (SELECT * FROM ({_ORDERED}) WHERE status = 'success') s ON a.profile_id = s.profile_id AND a.o > s.o"
+
+
+@query("search_mode_history", f"SELECT profile_id, run_id, CASE WHEN f THEN 'full' ELSE 'incremental' END AS mode, CAST(CASE WHEN f THEN 720 ELSE least(h + 24, 720) END AS BIGINT) AS hours FROM (SELECT *, profile_id = 4 OR own = 1 OR (own <> 2 AND h > 720) AS f FROM ({_EACH}))")
+def search_mode_history(spark, d):
+    """Mode and hours of every run in the log, as each was chosen when it began."""
+    now, k, p = F.lit(AS_OF).cast("date").cast("timestamp"), F.col("run_id"), F.col("profile_id")
+    at = now - F.make_interval(hours=F.col("hours_ago").cast("int"))
+    ended = F.when(k % 7 == 0, "broken").when(k % 11 == 0, F.lit(None)).otherwise(at.cast("string"))
+    log = reports.last_success(view(spark, d, "runs").select("profile_id", "run_id", "status", at.alias("started"), ended.alias("finished")))
+    override = F.when(p % 3 == 1, "full").when(p % 3 == 2, "incremental").otherwise("auto")
+    mode, hours = reports.search_mode(F.col("last_finished"), F.col("started"), override, p == 4)
+    return log.select("profile_id", "run_id", mode.alias("mode"), hours.alias("hours"))
+
+
 @query("clear_counts", f"SELECT scope, name, n FROM (SELECT 'profile' AS scope, 'verdicts' AS name, count(*) AS n FROM verdicts WHERE profile_id = {GONE} UNION ALL SELECT 'profile', 'runs', count(*) FROM runs WHERE profile_id = {GONE} UNION ALL SELECT 'profile', 'jobs', count(*) FROM postings WHERE seq NOT IN (SELECT job_key FROM verdicts WHERE profile_id <> {GONE}) UNION ALL SELECT 'all', 'verdicts', count(*) FROM verdicts UNION ALL SELECT 'all', 'runs', count(*) FROM runs UNION ALL SELECT 'all', 'jobs', count(*) FROM postings)")
 def clear_counts(spark, d):
     jobs, verdicts, runs = view(spark, d, "postings").select(F.col("seq").alias("job_key")), view(spark, d, "verdicts"), view(spark, d, "runs")
