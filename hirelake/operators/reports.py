@@ -40,11 +40,24 @@ def matches_by_tab(verdicts: DataFrame, jobs: DataFrame, oldest: str) -> DataFra
     return verdicts.join(jobs, "job_key").withColumn("tab", F.explode(tabs))
 
 
-def in_order(matches: DataFrame, sort: str) -> DataFrame:
-    """matches by score, date, found, company or status (anything else: score); ties by job_key."""
+def sort_keys(sort: str) -> list[Column]:
+    """The order of matches by score, date, found, company or status (anything else: score); ties by job_key."""
     score = F.coalesce("manager_score", F.lit(0)) + F.coalesce("candidate_score", F.lit(0))
     orders = {"date": [F.desc("date_posted"), F.desc("date_found")], "found": [F.desc("date_found")], "company": [F.asc("company"), F.asc("title")], "status": [F.asc("status")]}
-    return matches.orderBy(*orders.get(sort, [score.desc()]), "job_key")
+    return [*orders.get(sort, [score.desc()]), F.asc("job_key")]
+
+
+def search_keys(sort: str) -> list[Column]:
+    """The order of found jobs by date_found, date_posted (where it has no shape of a date: date_found), company or title
+    (anything else: date_found); ties by job_key. Dates run backwards, and nulls come last there, first elsewhere."""
+    dated = F.when(F.col("date_posted").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("date_posted")).otherwise(F.col("date_found").cast("date").cast("string"))
+    orders = {"date_posted": [dated.desc()], "company": [F.asc("company"), F.asc("title")], "title": [F.asc("title")]}
+    return [*orders.get(sort, [F.desc("date_found")]), F.asc("job_key")]
+
+
+def in_order(matches: DataFrame, sort: str) -> DataFrame:
+    """matches in the order of sort_keys."""
+    return matches.orderBy(*sort_keys(sort))
 
 
 def stage_totals(verdicts: DataFrame) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import feeds, lifecycle, many, places, planning, queries, reports, texts, whole  # noqa: F401
+from . import feeds, lifecycle, many, pages, places, planning, queries, reports, texts, whole  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES

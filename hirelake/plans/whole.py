@@ -9,7 +9,7 @@ from ..functions import pay
 from ..functions.clearance import requires_clearance
 from ..operators import country, lifecycle, location, prefilter, scoring
 from ..streaming import actions as action_stream
-from ..streaming.landing import shared_folder
+from ..sources.folders import shared_folder
 from .fixtures import derive, view
 from .places import _TABLE
 from .queries import LEAST, TOP, _STOP, query

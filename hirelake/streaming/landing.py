@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..plans.fixtures import derive
 from ..sources import normalize
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one the session names in spark.checkpoint.dir; only a session on one machine gets its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root}/landing-{uuid.uuid4().hex}"
+from ..sources.folders import shared_folder
 
 
 def start_ingest(rows: DataFrame, table: str, checkpoint: str, cutoff, prepare=None):
