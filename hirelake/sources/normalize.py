@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 #: Keywords in the order in which they decide.
 REMOTE_WORDS = [("remote", "remote"), ("hybrid", "hybrid"), ("on-site", "on-site"), ("onsite", "on-site"), ("in office", "on-site"), ("in-office", "on-site")]
+#: The same for scraped rows.
+SCRAPED_WORDS = [("remote", "remote"), ("hybrid", "hybrid"), ("on-site", "on-site"), ("onsite", "on-site"), ("in office", "on-site")]
 #: Pay periods' factor to a year.
 YEARLY = {"hourly": 2080, "monthly": 12}
 
 
-def infer_remote_type(*parts: Column) -> Column:
-    """First keyword that the joined parts hold, else unknown; null parts count as empty."""
+def infer_remote_type(*parts: Column, words: list[tuple[str, str]] = REMOTE_WORDS) -> Column:
+    """First of words that the joined parts hold, else unknown; null parts count as empty."""
     text = F.lower(F.concat_ws(" ", *(F.coalesce(p, F.lit("")) for p in parts)))
     found = F.lit("unknown")
-    for word, kind in reversed(REMOTE_WORDS):
+    for word, kind in reversed(words):
         found = F.when(F.contains(text, F.lit(word)), kind).otherwise(found)
     return found
 
 
-def annualize(amount: Column, period: Column) -> Column:
-    """Whole yearly pay; zero and null are null, unknown periods stay unscaled."""
+def yearly(amount: Column, period: Column) -> Column:
+    """Whole yearly pay; unknown periods stay unscaled."""
     factor = F.lit(1)
     for name, times in YEARLY.items():
         factor = F.when(period == name, times).otherwise(factor)
-    return F.nullif((amount * factor).cast("long"), F.lit(0).cast("long"))
+    return (amount * factor).cast("long")
+
+
+def annualize(amount: Column, period: Column) -> Column:
+    """yearly, and zero is null."""
+    return F.nullif(yearly(amount, period), F.lit(0).cast("long"))
 
 
 def salary_raw(low: Column, high: Column, period: Column) -> Column:
@@ -62,27 +69,42 @@ def is_fresh(date_posted: Column, cutoff: Column) -> Column:
 
 
 def scraped_pay(amount: Column, period: Column) -> Column:
-    """Whole yearly pay of a scraped text: commas and dollar signs go, nan and what is no number are null."""
+    """Whole yearly pay of a scraped text: commas and dollar signs go, nan and what is no number are null, zero stays."""
     plain = F.regexp_replace(F.coalesce(amount.cast("string"), F.lit("")), r"[,$\s]", "").try_cast("double")
-    return annualize(F.when(~F.isnan(plain), plain), F.lower(F.coalesce(period, F.lit(""))))
+    return yearly(F.when(~F.isnan(plain), plain), F.coalesce(period, F.lit("")))
 
 
 def stated_pay(low: Column, high: Column, period: Column, currency: Column) -> tuple[Column, Column, Column]:
-    """(salary_min, salary_max, salary_raw) of a search service's numbers: yearly amounts (null and zero: null), and the
-    amounts as stated with their currency (null: USD) and period; without either amount there is no text."""
-    low, high, of = low.cast("double"), high.cast("double"), F.lower(F.coalesce(period, F.lit("")))
-    whole = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("None"))
-    some = (F.coalesce(low, F.lit(0.0)) != 0) | (F.coalesce(high, F.lit(0.0)) != 0)
-    text = F.btrim(F.concat(whole(low), F.lit("-"), whole(high), F.lit(" "), F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD")), F.lit(" "), of))
-    return annualize(low, of), annualize(high, of), F.when(some, text)
+    """(salary_min, salary_max, salary_raw) of a search service's amounts, numbers or texts of them: yearly amounts (null,
+    zero and what is no number: null), and the amounts as stated with their currency (null: USD) and period; without
+    either amount there is no text."""
+    of = F.lower(F.coalesce(period, F.lit("")))
+    number = lambda c: c.cast("string").try_cast("double")
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    some = (F.coalesce(number(low), F.lit(0.0)) != 0) | (F.coalesce(number(high), F.lit(0.0)) != 0)
+    text = F.btrim(F.concat(shown(low), F.lit("-"), shown(high), F.lit(" "), stated_currency(currency), F.lit(" "), of))
+    return annualize(number(low), of), annualize(number(high), of), F.when(some, text)
+
+
+def stated_currency(currency: Column) -> Column:
+    """The currency; null and empty: USD."""
+    return F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD"))
+
+
+def stated_period(period: Column) -> Column:
+    """annual where yearly pay can be told from the period (none counts as a year), else the period in lower case."""
+    of = F.lower(F.coalesce(period, F.lit("")))
+    return F.when(of.isin("", "yearly", *YEARLY), "annual").otherwise(of)
 
 
 def scraped_amounts(low: Column, high: Column, interval: Column, currency: Column) -> tuple[Column, Column, Column]:
-    """(salary_min, salary_max, salary_raw) of a scraper's texts; the text shows the yearly amounts."""
+    """(salary_min, salary_max, salary_raw) of a scraper's texts; the text shows the yearly amounts, and there is none
+    without an amount other than zero."""
     low, high = scraped_pay(low, interval), scraped_pay(high, interval)
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
-    text = F.btrim(F.concat(shown(low), F.lit("-"), shown(high), F.lit(" "), F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD")), F.lit(" "), F.coalesce(interval, F.lit(""))))
-    return low, high, F.when(low.isNotNull() | high.isNotNull(), text)
+    text = F.btrim(F.concat(shown(low), F.lit("-"), shown(high), F.lit(" "), stated_currency(currency), F.lit(" "), F.coalesce(interval, F.lit(""))))
+    some = (F.coalesce(low, F.lit(0)) != 0) | (F.coalesce(high, F.lit(0)) != 0)
+    return low, high, F.when(some, text)
 
 
 def fresh_since(as_of: Column, retention_days: int, last_run: Column) -> Column:
