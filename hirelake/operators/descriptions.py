@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pay
+from ..functions.clearance import requires_clearance
 from ..functions.sections import LEAST_CHARS, complete, text_features
+from . import prefilter
 
 #: Notes and statuses of recorded verdicts.
 MISSING, MISSING_NOTE, BLOCKED_HOST = "missing_info", "[Missing info] ", "linkedin.com"
@@ -86,3 +88,28 @@ def backfill_descriptions(jobs: DataFrame, verdicts: DataFrame, reasons: DataFra
     filled = empty.join(wanted.select("job_key").distinct(), "job_key", "left_semi").join(last, "apply_url").select("job_key", "description")
     again = wanted.where("not (hidden and status_updated is not null)").join(filled.select("job_key"), "job_key", "left_semi").select("profile_id", "job_key")
     return filled, again
+
+
+def backfill(verdicts: DataFrame, jobs: DataFrame, profiles: DataFrame, dump: DataFrame, boards: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Empty board postings that a profile has as new are judged by prefilter.judge and take the description and raw_data
+    of the dump's last row (turn) with their link, if any reason is null.
+
+    jobs has job_key, apply_url, source and the columns judge reads of a posting (needs_clearance and pay are worked out
+    here, for the empty ones alone); profiles those it reads of a profile. Gives the filled texts (job_key, description,
+    raw_data) and all verdicts in their next state, with started_over: a new row of an accepted pair whose posting was
+    filled, and that is not dismissed (hidden by a user, hence stamped), loses its scores, notes and rank and is shown.
+    A pair without a verdict has nothing to reset: it is unscored anyway. A repeated pair is reset each time it stands.
+    """
+    named = ["job_key", "apply_url", "company", "title", "location", "remote_type", "salary_min", "description"]
+    empty = jobs.where(F.col("source").isin(boards) & ~_filled("description") & _filled("apply_url")).select(named)
+    last = dump.where(_filled("description") & _filled("apply_url")).groupBy("apply_url").agg(F.max_by(F.struct("description", "raw_data"), "turn").alias("_new"))
+    found = empty.join(last, "apply_url").withColumns({"needs_clearance": requires_clearance("title", "description"), "pay": pay.pay_candidates("description")})
+    new = verdicts.where("status = 'new'").select("profile_id", "job_key").distinct()
+    accepted = prefilter.judge(new.join(found, "job_key").join(profiles, "profile_id")).where("reason is null").select("profile_id", "job_key", "_new")
+    texts = accepted.groupBy("job_key").agg(F.first("_new").alias("_new")).select("job_key", "_new.*")
+    kept = verdicts.join(accepted.select("profile_id", "job_key", F.lit(True).alias("_again")), ["profile_id", "job_key"], "left")
+    dismissed = F.col("hidden") & F.col("status_updated").isNotNull()
+    again = F.coalesce(F.col("_again") & (F.col("status") == "new") & ~F.coalesce(dismissed, F.lit(False)), F.lit(False))
+    start = {c: F.lit(None) for c in ("manager_score", "candidate_score", "match_notes", "rank")} | {"match_score": F.lit(0.0), "hidden": F.lit(False)}
+    reset = {c: F.when(F.col("started_over"), v).otherwise(F.col(c)) for c, v in start.items() if c in verdicts.columns}
+    return texts, kept.withColumn("started_over", again).withColumns(reset).select(*verdicts.columns, "started_over")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import pay
 from ..functions.clearance import requires_clearance
-from ..operators import country, lifecycle, location, prefilter, scoring
-from ..streaming import actions as action_stream
+from ..operators import country, descriptions, lifecycle, location, prefilter, scoring
 from ..sources.folders import shared_folder
+from ..streaming import actions as action_stream
 from .fixtures import derive, view
 from .places import _TABLE
 from .queries import LEAST, TOP, _STOP, query
@@ -179,3 +179,25 @@ def token_batches(spark, d):
     size = F.char_length(F.coalesce("description", F.lit(""))) + F.char_length(F.coalesce("title", F.lit("")))
     jobs = queue.join(view(spark, d, "described").select(F.col("seq").alias("job_key"), size.alias("n_chars")), "job_key")
     return scoring.token_batches(jobs, 300, 6)
+
+
+_REFILLED = f"(SELECT v.*, coalesce(status = 'new' AND reason IS NULL AND source = 'greenhouse' AND coalesce(description, '') = '' AND job_key % 43 > 0 AND job_key % 3 <> 1 AND NOT (hidden AND status_updated IS NOT NULL), false) AS started_over, job_key % 3 AS turns FROM verdicts v JOIN {JUDGED} j ON j.seq = v.job_key AND j.profile_id = v.profile_id)"
+
+
+def refilled(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The board's dump tells two thirds of the postings, some of them twice, and ends with an empty text for each."""
+    jobs = view(spark, d, "described").withColumn("job_key", F.col("seq")).withColumn("apply_url", F.when(F.col("seq") % 43 > 0, F.concat(F.lit("https://jobs/"), "seq")))
+    turns = jobs.where("seq % 3 <> 1").select("seq", "apply_url", F.explode(F.sequence(F.lit(1), F.col("seq") % 3 + 2)).alias("turn"))
+    dump = turns.withColumns({"description": F.when(F.col("turn") < F.col("seq") % 3 + 2, F.concat(F.lit("text "), "seq", F.lit(" "), "turn")).otherwise(""), "raw_data": F.concat(F.lit("{"), "turn", F.lit("}"))})
+    return descriptions.backfill(view(spark, d, "verdicts"), jobs, seekers(spark, d), dump, ["greenhouse"])
+
+
+@query("backfill_judged", f"SELECT profile_id, job_key, status, started_over, CASE WHEN started_over THEN false ELSE hidden END AS hidden, CASE WHEN NOT started_over THEN manager_score END AS manager_score, CASE WHEN NOT started_over THEN candidate_score END AS candidate_score, CASE WHEN NOT started_over THEN match_notes END AS match_notes, CASE WHEN started_over THEN 0.0 ELSE match_score END AS match_score FROM {_REFILLED}")
+def backfill_judged(spark, d):
+    """Every verdict after a backfill that judges by all nine rules."""
+    return refilled(spark, d)[1].select("profile_id", "job_key", "status", "started_over", "hidden", "manager_score", "candidate_score", "match_notes", "match_score")
+
+
+@query("backfill_texts", f"SELECT DISTINCT job_key, concat('text ', job_key, ' ', job_key % 3 + 1) AS description, concat('{{', job_key % 3 + 1, '}}') AS raw_data FROM verdicts v JOIN {JUDGED} j ON j.seq = v.job_key AND j.profile_id = v.profile_id WHERE status = 'new' AND reason IS NULL AND source = 'greenhouse' AND coalesce(description, '') = '' AND job_key % 43 > 0 AND job_key % 3 <> 1")
+def backfill_texts(spark, d):
+    return refilled(spark, d)[0]
