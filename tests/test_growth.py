@@ -16,3 +16,10 @@ def test_pairs_stay_where_they_are_made(spark, name):
     """Places are read once for each posting; no pair is shuffled to be judged."""
     text = plan(catalog.QUERIES[name](spark, SMALL))
     assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["validate_descriptions", "record_missing_info"])
+def test_descriptions_are_read_in_one_place(spark, name):
+    """A stored copy and the own text are read in one generator, a page once for its link, each behind its length."""
+    text = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in text and "Union" not in text.split("Generate inline")[1]
