@@ -4,8 +4,8 @@ Words are hashed alone and in pairs into buckets. Two smoothed multinomials over
 documents and one of the raw corpus (all documents), give each bucket a log ratio; a document's score is the mean over
 its n-grams, and it is kept when the score reaches the threshold.
 
-The threshold is one number for all documents. It is fitted on labelled documents that pass the base rule and that the
-trusted sample leaves out (TUNING_FOLD): of all cuts between two of their scores the one with the least sum of the share
+The threshold is one number for all documents. It is fitted on all labelled documents that pass the base rule and that the
+trusted ones leave out (TUNING_FOLD): of all cuts between two of their scores the one with the least sum of the share
 of bad documents kept and of good ones lost, the lowest of equal ones, at the middle of its gap. Without a bad and a good
 one among them it is THRESHOLD.
 
@@ -20,14 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, sample_rows, table, words
+from .common import SPACE, cut, table, words
 
 BUCKETS = 10_000
-#: Trusted ids, at most. Raw counts have no bound.
-TRUSTED_ROWS = 10_000
 THRESHOLD = -0.12
-#: Labelled documents that fit the threshold, at most; they are those whose crc32 of doc_id as text has this remainder.
-TUNING_ROWS = 10_000
+#: Labelled documents that fit the threshold are those whose crc32 of doc_id as text has this remainder.
 TUNING_FOLDS, TUNING_FOLD = 5, 1
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -89,8 +86,9 @@ def _pairs(w: Column, f) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row: array of the buckets' log ratio between the trusted and the raw multinomial, add-one smoothed."""
-    flagged = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")  # at most TRUSTED_ROWS ids
+    """One row: array of the buckets' log ratio between the trusted and the raw multinomial, add-one smoothed, of docs
+    (doc_id, text); texts meet the trusted ids before they are split up, as many ids may need a shuffle."""
+    flagged = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left").withColumn("w", words(F.col("text")))
     grams = _pairs(F.col("w"), lambda a, b: F.when(b.isNull(), F.array(_bucket(a))).otherwise(F.array(_bucket(a), _bucket(a, b))))
     counts = flagged.select("trusted", F.explode(F.flatten(grams)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
@@ -99,8 +97,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return arrays.select(F.when(F.col("g") > 0, F.transform("a", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("weights"))
 
 
-def _scored(split: DataFrame, weights: Column, *more: str) -> DataFrame:
-    """Base counts, base_failed and score of documents (doc_id, text, w), and the columns of more."""
+def _scored(split: DataFrame, weights: Column) -> DataFrame:
+    """Base counts, base_failed and score of documents (doc_id, text, w)."""
     grams = _pairs(F.col("w"), lambda a, b: F.element_at(weights, _bucket(a) + 1) + F.when(b.isNull(), 0.0).otherwise(F.element_at(weights, _bucket(a, b) + 1)))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     rows = split.select(
@@ -111,55 +109,64 @@ def _scored(split: DataFrame, weights: Column, *more: str) -> DataFrame:
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
         (F.aggregate(grams, F.lit(0.0), lambda a, x: a + x) / F.greatest(2 * F.size("w") - 1, F.lit(1))).alias("score"),
-        *more,
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
 
 def best_cut(scores: DataFrame) -> float | None:
-    """The threshold by the rule above of (score, good), some TUNING_ROWS rows; None without a good and a bad one."""
+    """The threshold by the rule above of (score, good), any number of rows; None without a good and a bad one.
+
+    Scores are dealt by ranges, so that the counts below a score are those of the ranges before and those within its own.
+    """
     tied = scores.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    up = Window.orderBy("score")  # one group, which TUNING_ROWS bounds
-    below = lambda c: F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, -1))
-    every = lambda c: F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lost, kept = F.coalesce(below("good"), F.lit(0)) / every("good"), 1 - F.coalesce(below("bad"), F.lit(0)) / every("bad")
-    least = tied.select("score", F.coalesce((F.lag("score").over(up) + F.col("score")) / 2, "score").alias("cut"), F.when((every("good") > 0) & (every("bad") > 0), lost + kept).alias("cost"))
-    return least.agg(F.min_by("cut", F.when(F.col("cost").isNotNull(), F.struct("cost", "score"))).alias("cut")).first()["cut"]
+    dealt = cut(tied.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max("score").alias("last"))
+    order = Window.orderBy("part")  # a row for each range
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before("g").alias("good_before"), before("b").alias("bad_before"), F.lag("last").over(order).alias("last_before"))
+    total = dealt.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
+    if not total["g"] or not total["b"]:
+        return None
+    up = Window.partitionBy("part").orderBy("score")
+    below = lambda c: F.coalesce(F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(f"{c}_before")
+    lost, kept = below("good") / F.lit(total["g"]), 1 - below("bad") / F.lit(total["b"])
+    previous = F.coalesce(F.lag("score").over(up), "last_before")
+    costs = dealt.join(F.broadcast(parts), "part").select("score", F.coalesce((previous + F.col("score")) / 2, "score").alias("cut"), (lost + kept).alias("cost"))
+    return costs.agg(F.min_by("cut", F.struct("cost", "score")).alias("cut")).first()["cut"]
 
 
 def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, tuning: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
-    tuning (doc_id, good), TUNING_ROWS at most, fits the threshold; threshold is that without it.
+    tuning (doc_id, good), distinct ids, fits the threshold; threshold is that without it.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split_up = lambda rows, *more: rows.select("doc_id", text.alias("text"), *more).withColumn("w", words(F.col("text")))
-    split = split_up(docs)
-    ratios = log_ratios(split.select("doc_id", "w"), trusted.select("doc_id")).first()["weights"]  # BUCKETS numbers, whatever the input
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    ratios = log_ratios(docs, trusted.select("doc_id")).first()["weights"]  # BUCKETS numbers, whatever the input
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folds to one literal
+    scored = _scored(docs.withColumn("w", words(F.col("text"))), weights)
     if tuning is not None:
-        known = docs.select("doc_id", "text").join(F.broadcast(tuning.select("doc_id", "good")), "doc_id")  # at most TUNING_ROWS ids
-        scores = cut(_scored(split_up(known, "good"), weights, "good").select("base_failed", "score", "good"))  # a filter on it must not be worked out on all texts
-        fitted = best_cut(scores.where("not base_failed").select("score", "good"))
+        scored = cut(scored)  # a few numbers for each document: these meet the labels, texts don't
+        known = scored.where("not base_failed").select("doc_id", "score").join(tuning.select("doc_id", "good"), "doc_id")
+        fitted = best_cut(known.select("score", "good"))
         threshold = threshold if fitted is None else fitted
-    return _scored(split, weights).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def _held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % TUNING_FOLDS == TUNING_FOLD
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of good documents outside the tuning fold."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all good documents outside the tuning fold."""
     good = labels.where("quality = 1 and doc_id is not null").where(~_held_out())
-    return sample_rows(good.select("doc_id").distinct(), limit, "doc_id")
+    return good.select("doc_id").distinct()
 
 
-def tuning_rows(labels: DataFrame, limit: int = TUNING_ROWS) -> DataFrame:
-    """(doc_id, good) of labelled documents of the tuning fold."""
+def tuning_rows(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of all labelled documents of the tuning fold."""
     told = labels.where("quality is not null and doc_id is not null").where(_held_out())
-    return sample_rows(told.groupBy("doc_id").agg(F.min(F.col("quality") == 1).alias("good")), limit, "doc_id")
+    return told.groupBy("doc_id").agg(F.min(F.col("quality") == 1).alias("good"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
