@@ -44,8 +44,7 @@ def validate_descriptions(rows: DataFrame, stored: DataFrame, pages: DataFrame)
     known = stored.groupBy("job_key").agg(F.min("description").alias("_old"))
     page = pages.where("url is not null").groupBy("url").agg(F.min("html").alias("_html")).withColumn("_whole", complete("_html")).withColumn("_html", F.when(F.col("_whole"), F.col("_html")))
     told = rows.where(_filled("title") & _filled("company")).join(known, "job_key", "left")
-    # A generator's columns are worked out once; those of a projection once in each place that names them.
-    told = told.select("*", F.inline(F.array(F.struct(F.when(complete("_old"), "stored").when(complete("description"), "ok").alias("_known"))))).drop("_old")
+    told = told.withColumn("_known", F.when(complete("_old"), "stored").when(complete("description"), "ok")).drop("_old")
     read = told.withColumn("_link", F.when(F.col("_known").isNull() & _filled("apply_url"), F.col("apply_url")))
     found = read.join(page, F.col("_link") == F.col("url"), "left")
     outcome = F.coalesce("_known", F.when(F.col("_whole"), "fetched").otherwise(MISSING))
