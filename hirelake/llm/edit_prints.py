@@ -10,11 +10,13 @@ embedded string, one hex digit each: 0 behind the end, else a hash of (time, cha
 every second time of the scale before, so fingerprints of different scales compare too. The random bits are a table of
 (character class, time modulo PERIOD).
 
-Near classes: a band is BAND digits sampled from the times below the middle of a scale, which every text of that scale
-reaches. A text that fills three quarters of its scale has bands in the next one too, as texts there may be near it. Texts
-that share a band are candidates; each is verified against the least and the greatest of those that share the band by the likeness of whole fingerprints,
-and linked where that reaches NEAR. A bucket thus gives two links a member at most, however large, and a class is what
-links connect. That is a randomised search: texts that differ more may miss one another; equal texts never do.
+Near classes: fingerprints are linked where their likeness reaches NEAR, and a class is what links connect. The search is
+exact. Digits besides 0 come first in a fingerprint, so a pair of n and m >= n of them can be near only if few of the first n
+digits differ; cut into blocks of a fixed width, so many that some block agrees whole (`widths`). Fingerprints that share a
+block meet in its bucket, at the scale of the larger, and are compared there. A bucket gives a link for each member that its
+links connect to an earlier one, so copies don't multiply; the rows of a large bucket are dealt over tiles, and each pair of
+tiles is a bucket of its own, so a task holds 2 TILE rows of a bucket or little more. Comparisons of unlike texts that share a block grow with the
+square of the different texts, at a few in 100,000 of all pairs for each block.
 
 Cases: null counts as empty; the empty text has no digit but 0, is like itself alone, and shares bands with none; one
 character is a text; the longest texts are walked whole; equal texts and so repeated rows have equal fingerprints; rows
@@ -39,12 +41,14 @@ from pyspark.sql import types as T
 from .common import batch_rows, cut, look_up, shuffles_removed, stored, table
 from .components import components
 
-#: Times sampled of a text; bands of a scale, and digits of a band.
-SAMPLES, BANDS, BAND = 128, 16, 8
-#: Share of its times that a text fills to have bands in the next scale: length ratios of near texts stay above it.
-FILLED = 0.75
+#: Times sampled of a text.
+SAMPLES = 128
 #: Likeness from which fingerprints are linked.
 NEAR = 0.8
+#: Widest block of digits; the scale up to which digits stand at their times, so that all fingerprints compare as they are.
+WIDEST, PLAIN_SCALE = 8, SAMPLES.bit_length() - 1
+#: Rows of a bucket that are dealt over no tiles; rows of a bucket whose pairs are all compared; pairs compared at once.
+TILE, SMALL, PAIRS = 8192, 32, 65_536
 #: Character classes and times of the table of random bits, and its seed.
 CLASSES, PERIOD, SEED = 256, 1024, 11
 #: Values of a digit besides 0.
@@ -157,27 +161,101 @@ def read(fingerprint: str) -> tuple[int, np.ndarray]:
     return int(fingerprint[:2], 16), np.stack([packed >> 4, packed & 15], axis=1).ravel()
 
 
-@lru_cache(maxsize=64)
-def _bands(scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the digits in each band of a scale, and their weights in its key."""
-    there = min(1 << scale, SAMPLES // 2)
-    draw = np.random.default_rng((SEED, scale, BANDS))
-    picked = np.array([draw.choice(there, min(BAND, there), replace=False) for _ in range(BANDS)])
-    return picked, draw.integers(1, 1 << 62, picked.shape).astype(np.uint64) | np.uint64(1)
+def most_differing(n: int, near: float) -> int:
+    """Digits of n that may differ, at most, where the likeness is near or more."""
+    return int(n * (1 - near) * (1 - 1 / DIGITS) + 1e-6)
+
+
+@lru_cache(maxsize=4096)
+def widths(n: int, near: float, least: int = 1) -> tuple[int, ...]:
+    """Widths of the blocks for a fingerprint of n digits besides 0, one or two: those of all numbers m of digits, least or
+    more, that a near fingerprint with no fewer digits may have. The width for m is the widest that leaves more whole blocks in the
+    shorter fingerprint of any near pair than digits that differ in them, beside the digits that it lacks."""
+    lacking = lambda m: range(max(m - most_differing(m, near), 1), m + 1)
+    fits = lambda w, m: all(k // w > most_differing(m, near) - (m - k) for k in lacking(m))
+    partners = (m for m in range(max(n, least), SAMPLES + 1) if n in lacking(m))
+    return tuple(sorted({next(w for w in range(WIDEST, 0, -1) if w == 1 or fits(w, m)) for m in partners}))
 
 
-def band_keys(scale: int, digits: np.ndarray) -> list[int]:
-    """A number for each band that holds a character, in the own scale and in the next if that may hold near texts."""
+def block_keys(scale: int, digits: np.ndarray, near: float) -> list[int]:
+    """An exact number for each block of a fingerprint, with its scale, width and place: at the own scale, and at larger
+    ones as long as it may be near a text of theirs, half of whose digits at least lie below the scale's middle."""
     out: list[int] = []
-    filled = np.count_nonzero(digits) >= FILLED * min(SAMPLES, 1 << scale)
-    for s in (scale, scale + 1) if filled else (scale,):
-        picked, weights = _bands(s)
-        rows = lifted(digits, scale, s)[picked].astype(np.uint64)
-        keys = (rows * weights).sum(axis=1) * np.uint64(MIX[1])
-        out += (keys ^ keys >> np.uint64(31)).view(np.int64)[rows.any(axis=1)].tolist()
+    at, n, least = max(scale, PLAIN_SCALE), int(np.count_nonzero(digits)), 1
+    while n and n >= least - most_differing(least, near):
+        for w in widths(n, near, least):
+            blocks = digits[: n // w * w].reshape(-1, w).astype(np.int64) @ (1 << 4 * np.arange(w))
+            out += (((at << 11 | w << 7) + np.arange(len(blocks)) << 32) + blocks).tolist()
+        digits, at, least = lifted(digits, at, at + 1), at + 1, SAMPLES // 2
+        n = int(np.count_nonzero(digits))
     return out
 
 
+class Bucketed:
+    """Rows (key, tile, node, print) of buckets, sorted by key and tile, and the links within each bucket."""
+
+    def __init__(self, rows: pd.DataFrame, near: float, small: int):
+        self.near, self.small, self.nodes = near, small, rows["node"]
+        packed = np.frombuffer(b"".join(rows["print"]), np.uint8).reshape(len(rows), -1)
+        scale, at = np.maximum(packed[:, 0], PLAIN_SCALE), rows["key"].to_numpy() >> 43
+        self.digits = np.stack([packed[:, 1:] >> 4, packed[:, 1:] & 15], axis=2).reshape(len(rows), -1)
+        self.own = scale == at  # at least one of a pair is at its own scale; others meet at a smaller one
+        while (low := scale < at).any():
+            self.digits[low] = np.hstack([self.digits[low, ::2], np.zeros((low.sum(), SAMPLES // 2), np.uint8)])
+            scale = scale + low
+        self.n = np.count_nonzero(self.digits, axis=1)
+        other = (rows["key"].to_numpy()[1:] != rows["key"].to_numpy()[:-1]) | (rows["tile"].to_numpy()[1:] != rows["tile"].to_numpy()[:-1])
+        self.starts = np.append(0, np.flatnonzero(other) + 1)
+        self.sizes = np.diff(np.append(self.starts, len(rows)))
+
+    def _near(self, agree: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return (agree / there - 1 / DIGITS) / (1 - 1 / DIGITS) >= self.near
+
+    def _small(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All near pairs of the buckets of SMALL rows at most."""
+        for size in range(2, self.small + 1):
+            starts = self.starts[self.sizes == size]
+            x, y = np.triu_indices(size, 1)
+            for k in range(0, len(starts), PAIRS // len(x) + 1):
+                first = starts[k : k + PAIRS // len(x) + 1, None]
+                i, j = (first + x).ravel(), (first + y).ravel()
+                may = self.own[i] | self.own[j]
+                i, j = i[may], j[may]
+                a = self.digits[i]
+                hit = self._near(np.count_nonzero((a == self.digits[j]) & (a > 0), axis=1), np.maximum(self.n[i], self.n[j]))
+                yield i[hit], j[hit]
+
+    def _large(self, first: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links from a row to all that near pairs connect with it: each row of a bucket meets those not yet reached."""
+        rest = np.arange(first, first + size)
+        digits = self.digits[rest]
+        while len(rest) > 1:
+            root, waiting, rest, digits = rest[0], [rest[0]], rest[1:], digits[1:]
+            while waiting and len(rest):
+                x = waiting.pop()
+                agree = np.count_nonzero((digits == self.digits[x]) & (digits > 0), axis=1)
+                hit = self._near(agree, np.maximum(self.n[rest], self.n[x])) & (self.own[rest] | self.own[x])
+                if hit.any():
+                    yield rest[hit], np.full(hit.sum(), root)
+                    waiting += rest[hit].tolist()
+                    rest, digits = rest[~hit], digits[~hit]
+
+    def links(self) -> pd.DataFrame:
+        """(a, b): each row that is linked to earlier ones of its bucket, and the first that it is connected to."""
+        found = list(self._small())
+        for k in np.flatnonzero(self.sizes > self.small):
+            found += self._large(int(self.starts[k]), int(self.sizes[k]))
+        i, j = (np.concatenate([np.empty(0, np.int64), *(f[side] for f in found)]) for side in (0, 1))
+        least = np.arange(len(self.n))
+        while (least[i] != least[j]).any():
+            low = np.minimum(least[i], least[j])
+            np.minimum.at(least, i, low)
+            np.minimum.at(least, j, low)
+            least = least[least]
+        linked = np.flatnonzero(least != np.arange(len(least)))
+        return pd.DataFrame({"a": self.nodes.iloc[linked].array, "b": self.nodes.iloc[least[linked]].array})
+
+
 def prints_of(texts: list[str | None]) -> list[str]:
     """The written fingerprint of each text."""
     chars = [codes(t or "") for t in texts]
@@ -197,32 +275,48 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([p for part in _parts(texts.tolist(), lambda t: len(t or "")) for p in prints_of(part)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _band_keys(prints: pd.Series) -> pd.Series:
-    return prints.map(lambda p: band_keys(*read(p)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each row."""
     return docs.select("doc_id", _fingerprints("text").alias("fingerprint"))
 
 
+def near_links(distinct: DataFrame, near: float) -> DataFrame:
+    """Distinct links (a, b) that connect all nodes of distinct(fingerprint, node) whose likeness is near or more, and no others."""
+    kind, small = distinct.schema["node"].dataType.simpleString(), SMALL
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(prints: pd.Series) -> pd.Series:
+        return prints.map(lambda p: block_keys(*read(p), near))
+
+    def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the last bucket, which may go on in the next frame
+        for frame in frames:
+            if held:
+                goes_on = (frame["key"] == held[0]["key"].iloc[0]) & (frame["tile"] == held[0]["tile"].iloc[0])
+                if goes_on.all():
+                    held.append(frame)
+                    continue
+            whole = pd.concat([*held, frame])
+            last = (whole["key"] == whole["key"].iloc[-1]) & (whole["tile"] == whole["tile"].iloc[-1])
+            held = [whole[last]]
+            if not last.all():
+                yield Bucketed(whole[~last], near, small).links()
+        if held:
+            yield Bucketed(pd.concat(held), near, small).links()
+
+    rows = distinct.select("node", F.unhex("fingerprint").alias("print"), F.explode(keys("fingerprint")).alias("key"))
+    large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).alias("tiles")))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.least(own, t) * F.col("tiles") + F.greatest(own, t))
+    tiled = rows.join(F.broadcast(large), "key", "left")  # a row for TILE rows at most
+    dealt = tiled.select("key", "node", "print", F.explode(F.coalesce(pairs, F.array(F.lit(0).cast("long")))).alias("tile"))
+    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInPandas(links, f"a {kind}, b {kind}").distinct()
+
+
 def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
     """The rows of prints(fingerprint, doc_id, ...) with class_id, the least doc_id that links reach; null where none has an id."""
     distinct = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    banded = distinct.select("node", F.explode(_band_keys("fingerprint")).alias("band"))
-    ends = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = banded.join(ends, "band").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-    pairs = met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    own = distinct.select(F.col("node").alias("a"), F.col("fingerprint").alias("a_print"))
-    other = distinct.select(F.col("node").alias("b"), F.col("fingerprint").alias("b_print"))
-    links = pairs.join(own, "a").join(other, "b").where(_similarities("a_print", "b_print") >= near).select("a", "b")
-    classes = distinct.join(components(links), "node", "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
+    classes = distinct.join(components(near_links(distinct, near)), "node", "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
     return look_up(prints, classes, "fingerprint").select(*prints.columns, "class_id")
 
 

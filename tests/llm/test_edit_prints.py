@@ -88,3 +88,41 @@ def test_near_classes_hold_copies_and_leave_others(spark):
     ids = sorted(prints)
     pairs = [(a, b) for a in ids for b in ids if a < b and edit_prints.similarity(prints[a], prints[b]) >= edit_prints.NEAR]
     assert sum(classes[a] == classes[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def spoilt(text, share):
+    """The text with single letters replaced or left out, at random places."""
+    letters = [("" if draw < share / 2 else "#") if draw < share else c for c, draw in zip(text, rng.random(len(text)), strict=True)]
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("tile, small", [(8192, 32), (5, 2)])
+def test_near_classes_equal_the_links_of_all_pairs(spark, monkeypatch, tile, small):
+    """Texts spoilt in many places, cut short across scales, and short ones: classes are what all near pairs connect."""
+    monkeypatch.setattr(edit_prints, "TILE", tile)
+    monkeypatch.setattr(edit_prints, "SMALL", small)
+    texts = [spoilt(t, share) for t in [prose(12), prose(60), prose(300)] for share in (0.01, 0.02, 0.04, 0.06, 0.08, 0.1) for _ in range(12)]
+    texts += [text[:n] for text in (prose(40), prose(400)) for n in range(100, len(text), len(text) // 25)]
+    texts += [("abcdefghijklmnopqrstuvwxyz" * 2)[:n] for n in range(1, 50)]
+    texts += [spoilt(t, 0.1) for t in [prose(4)] * 30]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = edit_prints.near_classes(edit_prints.fingerprints(docs_of(spark, rows, 3))).collect()
+    prints, least = {r["doc_id"]: r["fingerprint"] for r in found}, list(range(len(rows)))
+    for _ in range(len(rows)):
+        before = list(least)
+        if not _:
+            near = [(a, b) for a in prints for b in prints if a < b and edit_prints.similarity(prints[a], prints[b]) >= edit_prints.NEAR]
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    assert len(near) > 1000 and {r["doc_id"]: r["class_id"] for r in found} == dict(enumerate(least))
+
+
+def test_blocks_of_all_near_lengths_agree():
+    """A pair of n and m digits at the limit of differing ones shares a block, wherever they differ."""
+    for near in (0.5, 0.8, 0.95):
+        for m in range(1, edit_prints.SAMPLES + 1):
+            for n in range(max(m - edit_prints.most_differing(m, near), 1), m + 1):
+                shared = set(edit_prints.widths(n, near)) & set(edit_prints.widths(m, near))
+                assert any(n // w > edit_prints.most_differing(m, near) - (m - n) for w in shared)
