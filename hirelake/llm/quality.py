@@ -87,8 +87,9 @@ def _pairs(w: Column, f) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: array of the buckets' log ratio between the trusted and the raw multinomial, add-one smoothed, of docs
-    (doc_id, text); texts meet the trusted ids before they are split up, as many ids may need a shuffle."""
-    flagged = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left").withColumn("w", words(F.col("text")))
+    (doc_id, text); texts meet the trusted ids before they are split up, in a shuffle at any size: ids are too many to be
+    broadcast, and disk grows as the input."""
+    flagged = docs.join(trusted.withColumn("trusted", F.lit(1)).hint("shuffle_merge"), "doc_id", "left").withColumn("w", words(F.col("text")))
     grams = _pairs(F.col("w"), lambda a, b: F.when(b.isNull(), F.array(_bucket(a))).otherwise(F.array(_bucket(a), _bucket(a, b))))
     counts = flagged.select("trusted", F.explode(F.flatten(grams)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)

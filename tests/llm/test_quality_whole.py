@@ -22,3 +22,12 @@ def test_cut_over_many_ranges(spark):
     best = min(range(len(scores)), key=lambda i: (round(cost(scores[i]), 12), i))
     want = (scores[best - 1] + scores[best]) / 2 if best else scores[0]
     assert abs(quality.best_cut(spark.createDataFrame(rows, "score double, good boolean").repartition(7)) - want) < 1e-12
+
+
+def test_trusted_ids_meet_texts_by_one_plan_at_any_size(spark):
+    """Few ids take the same shuffle as many, so that disk grows as the input."""
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(50)], "doc_id long, text string")
+    ratios = quality.log_ratios(docs, spark.range(3).withColumnRenamed("id", "doc_id"))
+    assert len(ratios.first()["weights"]) == quality.BUCKETS
+    plan = ratios._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan
