@@ -30,3 +30,11 @@ def test_no_side_of_many_profiles_is_broadcast_by_its_files(spark):
     text = catalog.QUERIES["pre_filter_many"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     joined = [line for line in text.splitlines() if "Join Inner" in line]
     assert joined and sum("strategy=merge" in line for line in joined) >= 4
+
+
+def test_words_of_titles_are_read_before_pairs(spark):
+    """Words of titles and zones of pay are read once for a posting or a profile, so above the pairing nothing is split."""
+    for name in ("pre_filter", "pre_filter_verdicts"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        above, _, below = plan.partition("Join ")
+        assert below and "split(" not in above and "bay area" not in above
