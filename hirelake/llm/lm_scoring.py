@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut, held_out, levels, table
+from .common import batch_rows, cut, held_out, levels, shuffles_removed, table
 
 FOLDS = 5
 #: Tokens of this count have vectors of their own, and the most frequent ones whatever their count; besides, there are
@@ -39,6 +39,8 @@ NOISE = 10
 ROUNDS, BATCH, SHARED, LEAST_VISITS, MOST_PASSES, BLOCK, CONTEXTS, RATE = 4, 1024, 10 * NOISE, 2_000_000, 50, 8192, 256, 0.1
 #: Pairs that a task holds at a time, besides a batch of Arrow's.
 GATHERED = 64 * BATCH
+#: Pairs of tokens that a task counts before it hands them on, besides a batch of Arrow's.
+COUNTED = 2_000_000
 #: Tokens whose counts are broadcast, at most, besides the model's.
 FREQUENT = 100_000
 #: Rows of a batch in a worker; tokens of a frame that it returns (a document's more), and tokens scored together.
@@ -72,18 +74,37 @@ def count_pairs(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = shared.value.get
+
+        def told(held: list[np.ndarray]) -> pd.DataFrame:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"context": (keys // size).astype(np.int32), "target": (keys % size).astype(np.int32), "n": n})
+
+        held: list[np.ndarray] = []
         for b in batches:
             ids = [0]
             for t in b["text"]:
                 ids += [place(w, 1) for w in tokens(t)]
                 ids.append(0)
             ids = np.array(ids, np.int64)
-            keys, n = np.unique((ids[:-1] * size + ids[1:])[ids[1:] > 0], return_counts=True)
-            yield pd.DataFrame({"context": (keys // size).astype(np.int32), "target": (keys % size).astype(np.int32), "n": n})
+            held.append((ids[:-1] * size + ids[1:])[ids[1:] > 0])
+            if sum(map(len, held)) >= COUNTED:
+                yield told(held)
+                held = []
+        if held:
+            yield told(held)
 
     return docs.select("text").mapInPandas(count, "context int, target int, n long").groupBy("context", "target").agg(F.sum("n").alias("n"))
 
 
+def _sums(g: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of g, in order, from each start to the next; most runs have one row, which is taken as it is."""
+    out, sizes = g.take(order[starts], axis=0), np.diff(starts, append=len(order))
+    many = sizes > 1
+    if many.any():
+        out[many] = np.add.reduceat(g.take(order[np.repeat(many, sizes)], axis=0), np.cumsum(sizes[many]) - sizes[many], axis=0)
+    return out
+
+
 class Model:
     """A context vector (own) and a target vector with its bias (to) of each class, and beside them the mean squares that
     Adagrad keeps for context, target and bias."""
@@ -142,7 +163,7 @@ class Model:
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             starts = np.flatnonzero(np.diff(ids, prepend=-1))
-            rows, g = ids[starts], np.add.reduceat(g.take(order, axis=0), starts, axis=0)
+            rows, g = ids[starts], _sums(g, order, starts)
             for cols, which in ((slice(0, d), side), (slice(d, None), 2))[: side + 1]:
                 part = g[:, cols]
                 squares = self.squares[rows, which] + np.einsum("ij,ij->i", part, part) / np.float32(part.shape[1])
@@ -157,14 +178,13 @@ class Model:
 
     def normaliser(self, first: int, last: int) -> np.ndarray:
         """log of the sum over all targets but the start, for contexts first to last."""
-        own, d = self.own[first:last], DIMENSIONS
+        own = np.pad(self.own[first:last], ((0, 0), (0, 1)), constant_values=1)  # the bias is a column of the targets
         top, total = np.full(len(own), -np.inf), np.zeros(len(own))
         for k in range(1, len(self.to), BLOCK):
-            block = self.to[k : k + BLOCK]
-            z = own @ block[:, :d].T + block[:, d]
+            z = own @ self.to[k : k + BLOCK].T
             high = np.maximum(top, z.max(axis=1))
             z -= high[:, None].astype(np.float32)
-            total = total * np.exp(top - high) + np.exp(z, out=z).sum(axis=1, dtype=np.float64)
+            total = total * np.exp(top - high) + np.exp(z, out=z).sum(axis=1)
             top = high
         return top + np.log(total)
 
@@ -265,7 +285,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     The passes over the texts run here, in batches of ROWS rows, and the documents' sums are kept in the shared folder.
     """
-    with batch_rows(docs.sparkSession, ROWS):
+    with batch_rows(docs.sparkSession, ROWS), shuffles_removed(docs.sparkSession):
         return cut(_score(docs, training))
 
 
